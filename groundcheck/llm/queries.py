@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import readability, warc
+from . import readability, rlz, simhash, warc
 from .common import table
 
 
@@ -14,12 +14,22 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rebuilt(table(spark, sf_dir, "pages"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.factors(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.extracted(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
 }
 
