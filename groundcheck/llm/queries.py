@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import readability, rlz, simhash, warc
+from . import audio, langid, licenses, mixing, readability, rlz, simhash, vectors, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rebuilt(table(spark, sf_dir, "pages"))
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.from_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -22,15 +26,33 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.factors(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.extracted(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc,
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
-    "op4_substring_dedup": op4_substring_dedup,
-    "op9_html_extraction": op9_html_extraction,
-}
-
+    f.__name__: f
+    for f in (
+        op1_warc, op2_mpeg_audio, op3_simhash_near_dedup, op4_substring_dedup, op5_embedding_near_dedup, op6_license_scan,
+        op7_source_mixing, op8_language_id, op9_html_extraction,
+    )
+}
+
+#: What SQL cannot express is tested against brute force instead.
 ORACLE: dict[str, str] = {"op1_warc": warc.SQL}
