@@ -1,4 +1,11 @@
-"""The corpus pipeline: ``STAGES`` over ``documents``, each stage reading what the one before it wrote."""
+"""The corpus pipeline: ``STAGES`` over ``documents``, each stage reading what the one before it wrote.
+
+language    documents in no known language go
+near copies one document of each group of near copies stays
+passages    passages of 50 words or more that stand in an earlier document are cut out
+mixing      a balanced sample in which all sources have equal tokens
+encoding    sampled SentencePiece segmentations of every document that is left
+"""
 
 from __future__ import annotations
 
@@ -6,15 +13,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from groundcheck.llm import langid, mixing, rlz, segment, simhash
+from groundcheck.llm.common import cut
+from groundcheck.llm.queries import SENTENCEPIECE
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rlz.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return segment.encoded(docs, SENTENCEPIECE)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("passages", cut_repeats),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundcheck.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, cut(docs) if number else docs, sf_dir)

@@ -16,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after bounding the rows of an Arrow batch in its session: Python workers then hold a few MB of text each.
+
+    A bound that the session sets lower is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import lean
+
 ROWS_PER_LANGUAGE = 400
 BUCKETS = 1 << 16
 LEAST_SHARE = 0.05
@@ -148,7 +150,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     name: [g[i] for g in got] for i, name in enumerate(("lang", "languages", "shares", "n_grams", "score", "accepted"))
                 }})
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
+    return lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -160,4 +162,4 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
         held = shared.value
         return pd.Series([held.identify(t)[5] for t in text], dtype=bool)
 
-    return docs.where(fine("text"))
+    return lean(docs).where(fine("text"))

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 MIN_RUN, COVER, GAP = 4, 0.75, 12
 TOKEN = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id bigint, license string, start_token int, end_token int, matched int, coverage double"
@@ -163,4 +165,4 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
             out = pd.DataFrame(rows, columns=["doc_id", "license", "start_token", "end_token", "matched", "coverage"])
             yield out.astype({"doc_id": "Int64", "start_token": "int32", "end_token": "int32", "matched": "int32", "coverage": "float64"})
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
+    return lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, langid, licenses, mixing, readability, rlz, simhash, vectors, warc
+from . import audio, langid, licenses, mixing, readability, rlz, segment, simhash, vectors, warc
 from .common import table
 
+#: The vocabulary file that the queries use; a parameter of the operator.
+SENTENCEPIECE = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rebuilt(table(spark, sf_dir, "pages"))
@@ -46,11 +49,15 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE) -> DataFrame:
+    return segment.encoded(table(spark, sf_dir, "documents"), model_path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_mpeg_audio, op3_simhash_near_dedup, op4_substring_dedup, op5_embedding_near_dedup, op6_license_scan,
-        op7_source_mixing, op8_language_id, op9_html_extraction,
+        op7_source_mixing, op8_language_id, op9_html_extraction, op10_sentencepiece_sampling,
     )
 }
 

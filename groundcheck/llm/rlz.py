@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, fresh
 
 MIN_WORDS, GRAM = 50, 25
 _RNG = np.random.default_rng(2011)
@@ -202,14 +202,15 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate spans taken out of the text (and n_chars set anew); documents left empty by that go."""
-    spans = cut(factors(docs)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    key, held = fresh(docs, "_key"), fresh(docs, "_spans")
+    spans = cut(factors(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_out(t, [(s["start"], s["stop"]) for s in x]) if x is not None and len(x) else t for t, x in zip(text, spans)], dtype=object)
 
-    out = docs.join(spans.hint("shuffle_hash"), "doc_id", "left").withColumn("text", clean("text", "_spans"))
-    out = out.where("_spans IS NULL OR length(text) > 0")
+    out = docs.join(spans.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == spans[key], "left")
+    out = out.withColumn("text", clean("text", held)).where(F.col(held).isNull() | (F.length("text") > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+        out = out.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(*docs.columns)

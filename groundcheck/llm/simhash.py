@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, fresh, lean
 
 PART, INNER = 48, 6
 RADIUS = 2 * INNER + 1
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": [d for d, _ in got], "a": [f[0] for _, f in got], "b": [f[1] for _, f in got]}, dtype="int64")
 
     return (
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+        lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
         .where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, "doc_id bigint, a bigint, b bigint")
     )
 
@@ -147,5 +147,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are near copies of one that stays."""
-    gone = cut(near_copies(docs)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_gone")
+    gone = cut(near_copies(docs)).select(F.col("doc_id").alias(key))
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left_anti")
