@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, fresh
+from .common import cut, fresh, lean
 
 MIN_WORDS, GRAM = 50, 25
 _RNG = np.random.default_rng(2011)
@@ -164,7 +164,7 @@ def factors(docs: DataFrame) -> DataFrame:
     Spans of a document do not touch. ``factors`` counts the greedy factors of the span; the source is the longest's.
     """
     docs = (
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+        lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
         .where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * MIN_WORDS - 1))
     )
     same = W.partitionBy("key")
