@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import hashlib
+
+import duckdb
+
+from groundcheck.llm import queries, warc
+
+
+def test_round_trip_with_odd_rows(spark):
+    rows = [(1, b"h1", b"abc"), (2, b"h2", b"abc"), (2, b"h2", b"abc"), (3, b"h3", b""), (4, b"h4", None), (None, None, b"\x00\xff"), (5, b"h" * 10, b"x" * 300_000)]
+    recs = spark.createDataFrame([(*r, "d", "p") for r in rows], "record_id bigint, header binary, payload binary, digest string, copies string")
+    headers, payloads = warc.archive(recs)
+    held = {r["digest"]: r for r in payloads.collect()}
+    assert {bytes(r["payload"]) for r in held.values()} == {b"abc", b"", b"\x00\xff", b"x" * 300_000}
+    assert all(r["verified"] and hashlib.sha256(r["payload"]).hexdigest() == d for d, r in held.items())
+    assert held[hashlib.sha256(b"abc").hexdigest()]["copies"] == 3
+    back = warc.reconstruct(headers, payloads).select("record_id", "header", "payload").collect()
+    got = sorted(((r[0], r[1] and bytes(r[1]), None if r[2] is None else bytes(r[2])) for r in back), key=repr)
+    assert got == sorted(rows, key=repr)
+
+
+def test_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.rebuilt(pages).collect() == []
+
+
+def test_null_columns_and_record_bytes(spark):
+    pages = spark.createDataFrame([(None, None, None), (1, "http://a", "é"), (1, "http://a", "é")], "page_id bigint, url string, html string")
+    rows = warc.rebuilt(pages).orderBy("page_id").collect()
+    assert rows[0]["payload_digest"] is None and rows[0]["verified"] and rows[0]["payload_bytes"] is None
+    assert rows[1] == rows[2] and rows[1]["copies"] == 2 and rows[1]["payload_bytes"] == 2
+    text = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: http://a\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n"
+    assert rows[1]["record_digest"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_query_equals_sql(spark, small):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{small}/pages.parquet'")
+    want = db.execute(queries.ORACLE["op1_warc"]).fetchdf().sort_values("page_id").reset_index(drop=True)
+    got = queries.op1_warc(spark, small).toPandas().sort_values("page_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all() and len(got) == len(want)
