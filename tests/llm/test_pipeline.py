@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import corpus_pipeline
+from groundcheck.llm import langid, rlz, segment, simhash
+from groundcheck.llm.common import cut
+from tests.llm.test_rlz import brute
+from tests.llm.test_simhash import groups
+
+
+def test_stages_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = docs.columns
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(cut(stage(spark, steps[-1], small)))
+    rows = [s.collect() for s in steps]
+    assert all(s.columns == names for s in steps[:-1])
+    model = langid.train(docs)
+    assert {r["doc_id"] for r in rows[1]} == {r["doc_id"] for r in rows[0] if model.identify(r["text"])[5]}
+    prints = {r["doc_id"]: f for r in rows[1] if (f := simhash.fingerprint(r["text"]))}
+    gone = {d for d, k in groups(prints).items() if d != k}
+    assert {r["doc_id"] for r in rows[2]} == {r["doc_id"] for r in rows[1]} - gone
+    texts = {r["doc_id"]: r["text"] for r in rows[2]}
+    out = brute(texts)
+    left = {r["doc_id"]: r for r in rows[3]}
+    for d, text in texts.items():
+        want = [w for i, w in enumerate(text.split()) if i not in out.get(d, ())]
+        assert (left[d]["text"].split() if d in left else []) == want
+        if d in out and d in left:
+            assert left[d]["n_chars"] == len(left[d]["text"])
+    mixed = {r["doc_id"] for r in rows[4]}
+    assert mixed and mixed <= set(left) and all(r == left[r["doc_id"]] for r in rows[4])
+    with open(corpus_pipeline.SENTENCEPIECE, "rb") as file:
+        raw = segment.Vocabulary(file.read()).raw
+    final = {r["doc_id"]: r["text"] for r in rows[4]}
+    assert {r["doc_id"] for r in rows[5]} == mixed
+    assert all(segment.spelled(raw, r["ids"]) == final[r["doc_id"]] for r in rows[5])
+    again = {(r["doc_id"], r["sample"]): r for r in corpus_pipeline.run(spark, small).collect()}
+    assert again == {(r["doc_id"], r["sample"]): r for r in rows[5]}
+
+
+def test_odd_rows(spark, odd, none):
+    for table in (odd, none):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES:
+            docs = cut(stage(spark, docs, ""))
+        docs.collect()
+
+
+def test_names():
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+    assert rlz.MIN_WORDS == 50

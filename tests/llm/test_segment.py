@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from groundcheck.llm import segment as S
+from groundcheck.llm.queries import SENTENCEPIECE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(SENTENCEPIECE, "rb") as file:
+        return S.Vocabulary(file.read())
+
+
+@pytest.fixture(scope="module")
+def processor():
+    return sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE)
+
+
+def every(vocabulary, processor, text: str) -> dict[tuple[int, ...], float]:
+    """All segmentations with their probabilities, by enumeration."""
+    ids = {processor.id_to_piece(i): i for i in range(processor.get_piece_size()) if vocabulary.raw[i] and not processor.is_byte(i)}
+
+    def split(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            if s[:n] in ids:
+                for rest in split(s[n:]):
+                    yield (ids[s[:n]], *rest)
+
+    found = list(split((S.SPACE + text).replace(" ", S.SPACE)))
+    lp = np.array([sum(vocabulary.log_prob[i] for i in f) for f in found])
+    return dict(zip(found, np.exp(lp - np.logaddexp.reduce(lp))))
+
+
+@pytest.mark.parametrize("text", ["the at", "on a in", " de"])
+def test_distribution_against_enumeration(vocabulary, processor, text):
+    p = every(vocabulary, processor, text)
+    n, k = 4000, 3
+    first, inside, weight = Counter(), Counter(), 0.0
+    for rows in S.sample_block(vocabulary, [text] * n, list(range(n)), k, 5):
+        segs = [tuple(r[0].tolist()) for r in rows]
+        assert len(set(segs)) == k
+        first[segs[0]] += 1
+        inside.update(segs)
+        for s, (_, lp, score) in zip(segs, rows):
+            assert lp == pytest.approx(math.log(p[s]), abs=1e-9)
+            weight += p[s] / math.exp(score)
+    names = sorted(p, key=lambda s: -p[s])
+    assert all(abs(first[s] / n - p[s]) < 4 * math.sqrt(p[s] * (1 - p[s]) / n) + 2e-3 for s in names[:20])
+    assert weight / n == pytest.approx(1, abs=0.02)  # inclusion scores make unbiased weights
+    q = np.array([p[s] for s in names])
+    rng = np.random.default_rng(0)
+    seen = np.zeros(len(q))
+    for _ in range(n):
+        order = np.argsort(-(np.log(q) + rng.gumbel(size=len(q))))[:k]
+        seen[order] += 1
+    assert all(abs(inside[s] - seen[i]) / n < 0.05 for i, s in enumerate(names[:6]))
+
+
+def test_round_trips(vocabulary, processor, spark, small):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    texts += ["", " ", "  a  b ", "\n\n", "a\nb", "tab\tx", "日本語 \U0001f600 é́", "x" * 3000, "\x00\x7f", "word " * 20_000]
+    for text, rows in zip(texts, S.sample_block(vocabulary, texts, list(range(len(texts))), 2, 1)):
+        assert rows
+        for ids, lp, score in rows:
+            assert S.spelled(vocabulary.raw, ids) == text
+            assert processor.decode(ids.tolist()) == text
+            assert lp <= 1e-9 and score <= 1e-9
+
+
+def test_few_segmentations(vocabulary):
+    rows = S.sample_block(vocabulary, ["", "\n"], ["a", "b"], 5, 1)
+    assert [len(r) for r in rows] == [1, 1] or all(len(r) >= 1 for r in rows)
+    assert len(rows[0]) == 1 and rows[0][0][0].tolist() == [] and rows[0][0][2] == 0.0
+
+
+def test_key_seeds_and_blocks_do_not_matter(vocabulary):
+    texts = ["some text that is cut", "another text here", "some text that is cut"]
+    whole = S.sample_block(vocabulary, texts, [1, 2, 1], 3, 9)
+    alone = [S.sample_block(vocabulary, [t], [k], 3, 9)[0] for t, k in zip(texts, [1, 2, 1])]
+    same = lambda a, b: all((x[0] == y[0]).all() and x[1] == pytest.approx(y[1]) for x, y in zip(a, b))
+    assert all(map(same, whole, alone)) and same(whole[0], whole[2])
+    long = ["several words of an invented prose that may be cut in many ways " * 5]
+    assert not same(S.sample_block(vocabulary, long, [1], 3, 9)[0], S.sample_block(vocabulary, long, [3], 3, 9)[0])
+
+
+def test_odd_rows(spark, odd, none):
+    rows = S.encoded(odd, SENTENCEPIECE)
+    back = S.decoded(rows, SENTENCEPIECE).collect()
+    texts = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] is not None}
+    assert {r["doc_id"] for r in back} == {None, 1, 3, 4, 5, 6, 7, 8, 9}
+    for r in back:
+        if r["doc_id"] is not None:
+            assert r["text"] == texts[r["doc_id"]].replace(S.SPACE, " ")
+    assert sum(r["doc_id"] == 1 for r in back) == 4 and sum(r["doc_id"] == 3 for r in back) == 1
+    assert S.encoded(none, SENTENCEPIECE).collect() == []
+    ids = spark.createDataFrame([(None,), ([],), ([99999999, -1],)], "ids array<int>")
+    assert [r["text"] for r in S.decoded(ids, SENTENCEPIECE).collect()] == [None, "", ""]
