@@ -27,7 +27,7 @@ def outcome(attempts: DataFrame) -> DataFrame:
     error. A dead URL with an escaped space is saved by a success at one of its variations (strategy ``variation``).
     """
     last = attempts.groupBy("reference_id").agg(
-        F.max("url").alias("url"),
+        F.max(F.when(F.col("strategy") != "variation", F.col("url"))).alias("url"),
         *[
             F.max_by(F.struct("http_status", "error_kind"), F.when(F.col("strategy") == s, F.col("attempt"))).alias(s)
             for s in ("plain", "guarded", "browser")

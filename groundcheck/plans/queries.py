@@ -345,11 +345,11 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    return rows.select("claim_id", "embedding_id", F.round("score", 4).alias("score"), big("rank").alias("rank"))
+    return rows.select("claim_id", "embedding_id", "score", big("rank").alias("rank"))
 
 
 def _topk(k: int, where: str = "true") -> str:
-    return f"""SELECT claim_id, embedding_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, embedding_id) AS rank
+    return f"""SELECT claim_id, embedding_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, embedding_id) AS rank
   FROM (SELECT a.vec_id AS claim_id, b.vec_id AS embedding_id, {_DOT} AS score FROM embeddings a, embeddings b WHERE {where})) WHERE rank <= {k}"""
 
 
@@ -385,7 +385,7 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT claim_id AS answer_chunk_id, string_agg('[referencia=' || label || ' score=' || printf('%.3f', s) || ']' || chr(10) || 'text ' || embedding_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS assembled_context
-  FROM (SELECT t.*, e.label, round(t.score, 6) AS s FROM ({_topk(3, _SCOPE).replace('round(score, 4) AS score', 'score')}) t JOIN embeddings e ON e.vec_id = t.embedding_id) GROUP BY 1""")
+  FROM (SELECT t.*, e.label, t.score + sign(t.score) * 1e-9 AS s FROM ({_topk(3, _SCOPE)}) t JOIN embeddings e ON e.vec_id = t.embedding_id) GROUP BY 1""")
 def assembled_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _asked(spark, sf_dir).withColumnRenamed("claim_id", "id").withColumn("text", F.lit(""))
     return retrieval.curate(rows, _passages(spark, sf_dir), keep=3).where("skip_reason IS NULL").select("answer_chunk_id", "assembled_context")

@@ -1,0 +1,20 @@
+"""Adapters without a network; a module of its own, so that workers can import it."""
+
+from __future__ import annotations
+
+from groundcheck.operators import judging
+
+PAGES = {
+    "https://e.com/data": b"<h1>Data</h1><p>The data law protects people everywhere.</p>", "https://e.com/net": b"<p>The internet is a network and not old at all.</p>",
+}
+
+
+def get(url, strategy):
+    return (200, None, PAGES[url], "text/html", None) if url in PAGES else (404, None, None, None, None)
+
+
+class Counting(judging.ContainmentJudge):
+    bad = False
+
+    def reply(self, system, user):
+        return ("not json", 1, 1, 1) if self.bad and "internet law" in user.split("EVIDENCE")[0] else super().reply(system, user)

@@ -1,0 +1,53 @@
+"""Every query against its SQL in another engine; the entry file without the training-data subpackage."""
+
+from __future__ import annotations
+
+import math
+import shutil
+import subprocess
+import sys
+
+import duckdb
+import pytest
+
+from groundcheck.plans.queries import ORACLE, QUERIES
+from tests.conftest import ROOT
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(rows, names):
+    def value(x):
+        x = x.item() if hasattr(x, "item") else x
+        return None if x is None or isinstance(x, float) and math.isnan(x) else round(x, 6) if isinstance(x, float) else x
+
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
+
+
+@pytest.fixture(scope="module")
+def duck(small):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    return db
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, small, duck, name):
+    df = QUERIES[name](spark, small)
+    rows = df.collect()
+    assert rows
+    if name in ORACLE:
+        want = duck.execute(ORACLE[name])
+        names = [d[0] for d in want.description]
+        assert sorted(df.columns) == sorted(names)
+        assert plain(rows, df.columns) == plain(want.fetchall(), names)
+
+
+def test_entry_works_without_the_subpackage(tmp_path):
+    shutil.copytree(f"{ROOT}/groundcheck", tmp_path / "groundcheck", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0 and out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))], out.stderr
