@@ -85,7 +85,7 @@ def test_key_seeds_and_blocks_do_not_matter(vocabulary):
     texts = ["some text that is cut", "another text here", "some text that is cut"]
     whole = S.sample_block(vocabulary, texts, [1, 2, 1], 3, 9)
     alone = [S.sample_block(vocabulary, [t], [k], 3, 9)[0] for t, k in zip(texts, [1, 2, 1])]
-    same = lambda a, b: all((x[0] == y[0]).all() and x[1] == pytest.approx(y[1]) for x, y in zip(a, b))
+    same = lambda a, b: all(np.array_equal(x[0], y[0]) and x[1] == pytest.approx(y[1]) for x, y in zip(a, b))
     assert all(map(same, whole, alone)) and same(whole[0], whole[2])
     long = ["several words of an invented prose that may be cut in many ways " * 5]
     assert not same(S.sample_block(vocabulary, long, [1], 3, 9)[0], S.sample_block(vocabulary, long, [3], 3, 9)[0])
