@@ -15,15 +15,18 @@ LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 ASTERISM = "⁂"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 EXCERPT = 220
+#: White space as Python has it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = r"(?U)[\s\x1C-\x1F]"
 
 
 def strip(c: Column) -> Column:
     """White space off both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)[\s\x1C-\x1F]+"), lambda w: w != "")
+    return F.filter(F.split(c, WS + "+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
@@ -127,8 +130,8 @@ def canonical_markers(text: Column) -> Column:
     """Superscript and subscript citation marks as [n]."""
     for tag in ("sup", "sub"):
         text = F.regexp_replace(text, rf"(?i)<{tag}>\s*(\d+)\s*</{tag}>", "[$1]")
-    text = F.regexp_replace(text, f"([{SUPERSCRIPTS}]+)", "[$1]")
-    return F.translate(text, SUPERSCRIPTS, "0123456789")
+    raised = F.translate(F.regexp_replace(text, f"([{SUPERSCRIPTS}]+)", "[$1]"), SUPERSCRIPTS, "0123456789")
+    return F.when(text.rlike(f"[{SUPERSCRIPTS}]"), raised).otherwise(text)
 
 
 def _heading(text: Column) -> tuple[Column, Column]:
@@ -140,7 +143,7 @@ def _heading(text: Column) -> tuple[Column, Column]:
 def strip_source_section(text: Column) -> Column:
     """The body: all before the first source-list heading, white space off its end."""
     at, _ = _heading(text)
-    return F.when(at > 0, F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"(?U)[\s\x1C-\x1F]+\z", "")).otherwise(text)
+    return F.when(at > 0, F.rtrim(F.substr(text, F.lit(1), at - 1), F.lit(BLANKS))).otherwise(text)
 
 
 def heading_tail(text: Column) -> Column:

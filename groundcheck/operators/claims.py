@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def segments(answers: DataFrame) -> DataFrame:
-    """(answer_id, position, text, markers): one row a claim, positions dense from 0; no shuffle."""
+def segments(answers: DataFrame, *keep: str) -> DataFrame:
+    """(answer_id, position, text, markers, further columns): one row a claim, positions dense from 0; no shuffle.
+
+    The outer form of explode is used with a filter after it: from the inner one the optimiser infers filters that
+    would work out the segments again.
+    """
     norm = T.canonical_markers(T.strip_source_section(F.col("text")))
-    runs = F.regexp_extract_all("norm", F.lit(f"({T.MARKER_RUN})"), F.lit(1))
+    runs = F.regexp_extract_all("norm", F.lit(f"({T.MARKER_RUN})"), F.lit(1))  # not inside a lambda, which would repeat it
     digits = lambda run: F.transform(
         F.regexp_extract_all(F.coalesce(run, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda n: F.concat(F.lit("["), n, F.lit("]"))
     )
     zipped = F.filter(
-        F.transform(F.col("parts"), lambda s, i: F.struct(T.strip(s).alias("text"), digits(F.get("runs", i)).alias("markers"))),
+        F.zip_with(F.split("norm", T.MARKER_RUN, -1), runs, lambda s, r: F.struct(T.strip(s).alias("text"), digits(r).alias("markers"))),
         lambda x: x["text"] != "",
     )
-    rows = answers.select("answer_id", norm.alias("norm")).withColumns({"parts": F.split("norm", T.MARKER_RUN, -1), "runs": runs})
-    return rows.select("answer_id", F.posexplode(zipped).alias("position", "c")).select("answer_id", "position", "c.text", "c.markers")
+    rows = answers.select("answer_id", *keep, norm.alias("norm"))
+    rows = rows.select("answer_id", *keep, F.posexplode_outer(zipped).alias("position", "c")).where("position IS NOT NULL")
+    return rows.select("answer_id", "position", "c.text", "c.markers", *keep)
 
 
 def marker_index(refs: DataFrame) -> DataFrame:
@@ -31,19 +36,16 @@ def marker_index(refs: DataFrame) -> DataFrame:
     )
 
 
-def resolve(parts: DataFrame, index: DataFrame) -> DataFrame:
-    """Claims with the distinct references of their marks, in order; unknown marks are dropped."""
-    marks = parts.select("answer_id", "position", F.posexplode("markers").alias("at", "marker"))
-    cited = (
-        marks.join(index, ["answer_id", "marker"]).groupBy("answer_id", "position")
-        .agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "reference_id"))), lambda x: x["reference_id"])).alias("cited"))
-    )
-    none = F.array().cast("array<string>")
-    return parts.join(cited, ["answer_id", "position"], "left").select(
+def claims(answers: DataFrame, refs: DataFrame) -> DataFrame:
+    """Claims with the distinct references of their marks, in order; unknown marks are dropped.
+
+    An answer's marks are few, so they are joined to the answer as one map before its text is taken apart: the join
+    moves answers, not claims, and no mark is exploded.
+    """
+    index = marker_index(refs).groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("marker", "reference_id"))).alias("_index"))
+    rows = segments(answers.join(index, "answer_id", "left"), "_index")
+    found = F.array_distinct(F.array_compact(F.transform("markers", lambda m: F.try_element_at("_index", m))))
+    return rows.select(
         F.concat_ws("-", "answer_id", F.col("position").cast("string")).alias("id"), "answer_id", "position", "text",
-        F.coalesce("cited", none).alias("cited_reference_ids"),
+        F.coalesce(found, F.array().cast("array<string>")).alias("cited_reference_ids"),
     )
-
-
-def claims(answers: DataFrame, refs: DataFrame) -> DataFrame:
-    return resolve(segments(answers), marker_index(refs))

@@ -42,16 +42,19 @@ def split_markdown(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERL
 
     chunks: list[str] = []
     held: list[str] = []
-    fresh = False
+    bound, fresh = 0, False  # parts counted apart are at least as many tokens as together
     for atom in atoms(text):
-        if held and fresh and count("".join([*held, atom])) > max_tokens:
+        size = count(atom)
+        if held and fresh and bound + size > max_tokens and count("".join([*held, atom])) > max_tokens:
             chunks.append("".join(held).strip())
             tail: list[str] = []
-            while held and count("".join([held[-1], *tail])) <= min(overlap, max_tokens - count(atom)):
+            bound = 0
+            while held and bound + count(held[-1]) <= min(overlap, max_tokens - size):
+                bound += count(held[-1])
                 tail.insert(0, held.pop())
             held = tail
         held.append(atom)
-        fresh = True
+        bound, fresh = bound + size, True
     if fresh:
         chunks.append("".join(held).strip())
     return [c for c in chunks if c]
@@ -74,7 +77,7 @@ def word_windows(documents: DataFrame, size: int = MAX_TOKENS, overlap: int = OV
     rows = documents.select("reference_id", T.words(F.col("markdown")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / F.lit(step)).cast("int"))
     windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * step + 1, F.lit(size)))
-    return rows.select("reference_id", F.posexplode(windows).alias("position", "p")).select(
+    return rows.select("reference_id", F.posexplode_outer(windows).alias("position", "p")).where("position IS NOT NULL").select(
         "reference_id", "position", F.array_join("p", " ").alias("text"), F.size("p").alias("token_count")
     )
 

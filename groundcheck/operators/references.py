@@ -22,7 +22,8 @@ _TOKEN = r"(?is)(?:\A|(?<=\s))(?:[#*\-][ \t]*)*\d+\.[ \t]*|<u>.*?</u>"
 
 
 def _lines(answers: DataFrame, of: Column) -> DataFrame:
-    return answers.select("answer_id", F.posexplode(F.split(of, T.LINE_END)).alias("pos", "line")).withColumn("line", T.strip(F.col("line")))
+    rows = answers.select("answer_id", F.posexplode_outer(F.split(of, T.LINE_END)).alias("pos", "line")).where("pos IS NOT NULL")
+    return rows.withColumn("line", T.strip(F.col("line")))
 
 
 def bracket_entries(answers: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def bracket_entries(answers: DataFrame) -> DataFrame:
 
 def numbered_entries(answers: DataFrame) -> DataFrame:
     """``n.`` after the list's anchor; the underlined parts up to the next number make the URL."""
-    tokens = answers.select("answer_id", F.posexplode(F.regexp_extract_all(T.source_tail(F.col("text")), F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    listed = F.regexp_extract_all(T.source_tail(F.col("text")), F.lit(_TOKEN), F.lit(0))
+    tokens = answers.select("answer_id", F.posexplode_outer(listed).alias("pos", "token")).where("pos IS NOT NULL")
     part = F.regexp_extract("token", r"(?is)^<u>(.*)</u>\z", 1)
     tokens = tokens.withColumns({"number": F.regexp_extract("token", r"(?s)^(?:[#*\-][ \t]*)*(\d+)\.[ \t]*\z", 1), "part": part})
     order = W.partitionBy("answer_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

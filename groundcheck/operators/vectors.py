@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql.window import Window as W
 
 #: A side of fewer vectors than this may be sent to all tasks; a larger one is joined by blocks.
 BROADCAST_ROWS = 200_000
+#: Claims of one reference that a task scores at once; more are spread over several tasks.
+CLAIMS_PER_TASK = 20_000
 
 
 class Embedder(Protocol):
@@ -24,6 +28,11 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+
+
 class HashEmbedder:
     """A deterministic stand-in for a model: signed word hashes, unit length."""
 
@@ -34,9 +43,9 @@ class HashEmbedder:
         out = []
         for text in texts:
             v = [0.0] * self.dimension
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
-                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
+            for word, n in Counter(re.findall(r"\w+", text.lower())).items():
+                h = _word_hash(word)
+                v[h % self.dimension] += n if h >> 63 else -n
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / norm for x in v])
         return out
@@ -79,15 +88,43 @@ def _top(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_scoped(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """The k best passages of each claim among those of the references it cites: an equi-join on the reference.
+def _best(who: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's k best vectors of a block: score to six places, ties by id."""
+    s = np.round(q @ x.T, 6)
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+    rows = np.repeat(np.arange(len(s)), order.shape[1])
+    return pd.DataFrame({"claim_id": who[rows], "embedding_id": ids[order.ravel()], "score": s[rows, order.ravel()]})
+
+
+def _described(top: DataFrame, passages: DataFrame) -> DataFrame:
+    keep = [c for c in ("id", "reference_id", "text") if c in passages.columns]
+    return top.join(passages.select("embedding_id", *keep), "embedding_id") if keep else top
+
 
-    Rows (claim_id, embedding_id, id, reference_id, text, score, rank); no vector leaves the join.
+def top_scoped(queries: DataFrame, passages: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k best passages of each claim among those of the references it cites: a co-group on the reference.
+
+    Each group is a matrix product that leaves k rows a claim and reference. The claims of a much cited reference are
+    spread over as many groups as their number asks for, each with that reference's passages; passages that no claim
+    cites are dropped before they are moved. Rows (claim_id, embedding_id, id, reference_id, text, score, rank).
     """
     cited = queries.select("claim_id", F.col("embedding").alias("q"), F.explode(F.array_distinct("cited_reference_ids")).alias("reference_id"))
-    scored = cited.join(passages, "reference_id").withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6))
-    keep = [c for c in ("id", "reference_id", "text") if c in passages.columns]
-    return _top(scored.select("claim_id", "embedding_id", *keep, "score"), k)
+    slots = cited.groupBy("reference_id").agg(F.ceil(F.count("*") / CLAIMS_PER_TASK).cast("int").alias("slots"))
+    left = cited.join(slots, "reference_id").withColumn("slot", F.pmod(F.xxhash64("claim_id"), "slots").cast("int")).drop("slots")
+    right = passages.select("reference_id", "embedding_id", "embedding").join(slots, "reference_id")
+    right = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    kind = dict(queries.dtypes)["claim_id"]
+
+    def group(claims: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(claims) or not len(held):
+            return pd.DataFrame({"claim_id": claims["claim_id"][:0], "embedding_id": held["embedding_id"][:0], "score": np.zeros(0)})
+        who, ids = claims["claim_id"].to_numpy(), held["embedding_id"].to_numpy()
+        q, x = (np.stack(c.to_numpy()).astype(np.float64) for c in (claims["q"], held["embedding"]))
+        return pd.concat([_best(who[i : i + block], q[i : i + block], ids, x, k) for i in range(0, len(q), block)])
+
+    keys = ["reference_id", "slot"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(group, f"claim_id {kind}, embedding_id bigint, score double")
+    return _described(_top(found, k), passages)
 
 
 def top_full(queries: DataFrame, passages: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -114,16 +151,10 @@ def top_full(queries: DataFrame, passages: DataFrame, k: int, block: int = 4096)
                 continue
             x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
             ids = part["embedding_id"].to_numpy()
-            for at in range(0, len(q), block):
-                s = np.round(q[at : at + block] @ x.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(s)), order.shape[1])
-                best.append(pd.DataFrame({"claim_id": who[at + rows], "embedding_id": ids[order.ravel()], "score": s[rows, order.ravel()]}))
+            best += [_best(who[at : at + block], q[at : at + block], ids, x, k) for at in range(0, len(q), block)]
         if best:
             yield pd.concat(best)
 
     kind = dict(asked.dtypes)["claim_id"]
     found = passages.select("embedding_id", "embedding").mapInPandas(run, f"claim_id {kind}, embedding_id bigint, score double")
-    top = _top(found, k)
-    keep = [c for c in ("id", "reference_id", "text") if c in passages.columns]
-    return top.join(passages.select("embedding_id", *keep), "embedding_id") if keep else top
+    return _described(_top(found, k), passages)
