@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,7 +133,8 @@ def canonical_markers(text: Column) -> Column:
     for tag in ("sup", "sub"):
         text = F.regexp_replace(text, rf"(?i)<{tag}>\s*(\d+)\s*</{tag}>", "[$1]")
     raised = F.translate(F.regexp_replace(text, f"([{SUPERSCRIPTS}]+)", "[$1]"), SUPERSCRIPTS, "0123456789")
-    return F.when(text.rlike(f"[{SUPERSCRIPTS}]"), raised).otherwise(text)
+    some = reduce(Column.__or__, [text.contains(c) for c in SUPERSCRIPTS])  # a byte search each, much faster than a class of them
+    return F.when(some, raised).otherwise(text)
 
 
 def _heading(text: Column) -> tuple[Column, Column]:
