@@ -37,7 +37,7 @@ from .common import lean
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
-SAMPLES, BLOCK_CHARS = 2, 1_500_000
+SAMPLES, BLOCK_CHARS = 2, 3_000_000
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double"
 U = np.uint64
 
@@ -139,7 +139,7 @@ class Lattice:
         stop = np.repeat(np.cumsum(sizes), sizes)
         left = stop - np.arange(n)
         order = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
-        rank = np.empty(n + 1, np.int64)
+        rank = np.zeros(n + 1, np.int64)
         rank[order] = np.arange(n)
         self.end = n
         levels, count = [], np.zeros(n, np.int64)
@@ -181,9 +181,13 @@ class Lattice:
             slot = fill[here]
             fill[here] += 1
             self.piece[slot] = piece
-            self.target[slot] = np.where(here + size == stop[here], n, rank[np.minimum(here + size, n - 1)])
-            c = codes[here]
-            score[slot] = np.where(piece >= 0, vocabulary.log_prob[piece], vocabulary.least * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+            self.target[slot] = np.where(left[here] == size, n, rank[here + size])
+            value = vocabulary.log_prob[piece]
+            if size == 1:
+                odd = np.flatnonzero(piece < 0)
+                c = codes[here[odd]]
+                value[odd] = vocabulary.least * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            score[slot] = value
         self.q, self.upto = np.empty(edges), np.empty(edges)
         beta = np.zeros(n + 1)
         bounds = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=1)[1:])]) if n else np.zeros(1, np.int64)
@@ -202,10 +206,6 @@ class Lattice:
             run = np.cumsum(t)
             self.upto[lo:hi] = run - np.repeat(run[starts] - t[starts], each)
         self.upto[self.first[1:] - 1] = np.inf
-        self.log_q = np.log(np.maximum(self.q, 1e-300))
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log1p(-np.minimum(self.q, 1.0))
-        self.log_rest[np.repeat(np.diff(self.first) == 1, np.diff(self.first))] = -np.inf
         heads = np.cumsum(sizes) - sizes
         self.start = rank[heads] if len(units) else np.zeros(0, np.int64)
 
@@ -242,22 +242,29 @@ class _Leaves:
 
     def __init__(self, lattice: Lattice, path: np.ndarray, unit: np.ndarray, bounds: np.ndarray, value: np.ndarray, fork: np.ndarray, seed: np.ndarray):
         self.path, self.unit, self.bounds, self.value = path, unit, bounds, value
-        run = np.concatenate([[0.0], np.cumsum(lattice.log_q[path])])
+        q = lattice.q[path]
+        run = np.concatenate([[0.0], np.cumsum(np.log(q))])
         sizes = np.diff(bounds)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(path)) - bounds[:-1][doc]
         self.before = run[:-1] - run[bounds[:-1]][doc]
         self.log_prob = run[bounds[1:]] - run[bounds[:-1]]
-        rest = self.before + lattice.log_rest[path]
+        with np.errstate(divide="ignore"):
+            rest = self.before + np.log1p(-np.minimum(q, 1.0))  # nothing beside an only edge
         self.beside = _below(rest + _gumbel(seed[doc] + place.astype(np.uint64) * U(0x9FB21C651E98DF25)), value[doc])
         self.beside[(place <= fork[doc]) | ~np.isfinite(rest)] = -np.inf
 
-    def best(self, d: int) -> tuple[float, int]:
-        lo, hi = self.bounds[d], self.bounds[d + 1]
-        if lo == hi:
-            return -np.inf, -1
-        at = int(self.beside[lo:hi].argmax())
-        return float(self.beside[lo + at]), at
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each document the value of the best set beside the path, and its place on it."""
+        sizes = np.diff(self.bounds)
+        top, at = np.full(len(sizes), -np.inf), np.full(len(sizes), -1)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            begin = self.bounds[some]
+            top[some] = np.maximum.reduceat(self.beside, begin)
+            hits = np.flatnonzero(self.beside == np.repeat(top, sizes))
+            at[some] = hits[np.searchsorted(hits, begin)] - begin
+        return top, at
 
 
 def sample_block(vocabulary: Vocabulary, texts: list[str], keys: list[object], samples: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -284,7 +291,6 @@ def sample_block(vocabulary: Vocabulary, texts: list[str], keys: list[object], s
     path, counts = lattice.walk(node, first[doc] + inner)
     bounds = np.concatenate([[0], np.cumsum(counts)])[units]
     leaves = [_Leaves(lattice, path, np.repeat(np.arange(len(code)), counts), bounds, value, np.full(len(texts), -1), _mix(first))]
-    dead = np.zeros(len(texts), bool)
     barred: dict[tuple[int, int, int], list[int]] = {}
     for r in range(1, samples):
         own = round_seed(r)
@@ -293,14 +299,13 @@ def sample_block(vocabulary: Vocabulary, texts: list[str], keys: list[object], s
         forks, picks = np.full(len(texts), -1), [None] * len(texts)
         value = np.full(len(texts), -np.inf)
         again = _gumbel(_mix(own + U(1)))
+        tops, places = (np.stack(x) for x in zip(*(leaf.best() for leaf in leaves)))
+        chosen = tops.argmax(axis=0)
         for d in range(len(texts)):
-            if dead[d]:
-                continue
-            (top, at), which = max(((leaf.best(d), k) for k, leaf in enumerate(leaves)), key=lambda x: x[0][0])
-            if top == -np.inf:
-                dead[d] = True
+            which = int(chosen[d])
+            top, at, leaf = float(tops[which, d]), int(places[which, d]), leaves[which]
+            if top == -np.inf:  # every segmentation has been given
                 continue
-            leaf = leaves[which]
             where = int(leaf.bounds[d]) + at
             out = barred.setdefault((d, which, at), [int(leaf.path[where])])
             n = lattice.source(out[0])
@@ -334,8 +339,9 @@ def sample_block(vocabulary: Vocabulary, texts: list[str], keys: list[object], s
         leaves.append(_Leaves(lattice, np.concatenate(paths), np.concatenate(tokens), bounds, value, forks, _mix(own + U(2))))
     ids = [_ids(vocabulary, lattice, leaf) for leaf in leaves]
     found = []
+    limits = np.max([leaf.best()[0] for leaf in leaves], axis=0)
     for d in range(len(texts)):
-        limit = max(leaf.best(d)[0] for leaf in leaves)
+        limit = float(limits[d])
         rows = []
         for leaf, (flat, cuts) in zip(leaves, ids):
             if leaf.value[d] > -np.inf:
