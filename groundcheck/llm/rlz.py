@@ -9,7 +9,8 @@ reported.
 
 Two passes keep the index small without losing a factor. Winnowing picks one of any 26 successive 25-word windows by
 least hash, so that any repeated run of 50 words has a picked window in common; only 50-word windows whose picked window
-another document has picked too are indexed, each of them. Windows are matched by 96 bits of hash.
+another document has picked too are indexed, each of them. Windows are matched by 64 bits of hash, and by 31 more against
+the first of their hash.
 
 Defined cases: words are runs of bytes over 32; rows with a null doc_id and null, empty or short texts have no factor;
 repeats within one document are not duplicates of another and stay; rows that share a doc_id are one document, so rows
@@ -101,9 +102,9 @@ def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every 50-word window whose picked 25-word window another document has picked too."""
+    """Every 50-word window whose picked 25-word window another document has picked too; meta is 31 bits of hash and the place."""
     for pdf in batches:
-        ids, at, keys, checks = [], [], [], []
+        ids, meta, keys = [], [], []
         for doc, text, shared in zip(pdf["doc_id"], pdf["text"], pdf["shared"]):
             raw = text.encode("utf-8", "surrogatepass")
             hashes = word_hashes(raw, *words(raw))
@@ -111,11 +112,11 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hit = np.zeros(len(gram), bool)
             hit[shared[shared < len(gram)]] = True
             where = np.flatnonzero(hit[least])
-            ids.append(np.full(len(where), doc, np.int64)), at.append(where)
-            keys.append(windows(hashes, MIN_WORDS, _BASES[0][1])[where])
-            checks.append((windows(hashes, MIN_WORDS, _BASES[1][1])[where] >> np.uint64(33)).astype(np.int32))
+            ids.append(np.full(len(where), doc, np.int64)), keys.append(windows(hashes, MIN_WORDS, _BASES[0][1])[where])
+            check = windows(hashes, MIN_WORDS, _BASES[1][1])[where] >> np.uint64(33)
+            meta.append((check << np.uint64(32)) | where.astype(np.uint64))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pd.DataFrame({"key": join(keys, np.uint64).view(np.int64), "chk": join(checks, np.int32), "doc_id": join(ids, np.int64), "pos": join(at, np.int32)})
+        yield pd.DataFrame({"key": join(keys, np.uint64).view(np.int64), "doc_id": join(ids, np.int64), "meta": join(meta, np.uint64).view(np.int64)})
 
 
 def _span(doc: int, pos: np.ndarray, src: np.ndarray, at: np.ndarray) -> tuple[int, ...]:
@@ -173,14 +174,14 @@ def factors(docs: DataFrame) -> DataFrame:
         .select("doc_id", "pos", (F.min("doc_id").over(same) != F.max("doc_id").over(same)).alias("both"))
         .where("both").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
     )
-    block = W.partitionBy("key", "chk")
-    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("pos").alias("p"))).over(block)
+    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("meta").alias("m"))).over(W.partitionBy("key"))
+    place = lambda m: m.bitwiseAND(0xFFFFFFFF).cast("int")
     found = (
         docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared")
-        .mapInPandas(_index, "key bigint, chk int, doc_id bigint, pos int")
-        .select("doc_id", "pos", first.alias("first"))
-        .select("doc_id", "pos", F.col("first.d").alias("src"), F.col("first.p").alias("at"))
-        .where("src <> doc_id")
+        .mapInPandas(_index, "key bigint, doc_id bigint, meta bigint")
+        .select("doc_id", "meta", first.alias("first"))
+        .where("first.d <> doc_id AND shiftright(first.m, 32) = shiftright(meta, 32)")
+        .select("doc_id", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), place(F.col("first.m")).alias("at"))
     )
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(
         _parse, "doc_id bigint, start bigint, stop bigint, source_id bigint, source_start bigint, factors bigint"
