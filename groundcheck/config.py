@@ -6,23 +6,25 @@ import os
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+LOCAL_PORT = 1234
+
 
 @dataclass(frozen=True)
 class Settings:
-    data_dir: str = "./data"
-    log_level: str = "INFO"
-    log_format: str = "text"
-    llm_provider: str = "local"
-    llm_base_url: str | None = "http://localhost:1234/v1/"
+    anthropic_api_key: str | None = None
+    openai_api_key: str | None = None
     llm_model: str = "openai/gpt-oss-20b"
-    llm_temperature: float = 0.0
-    llm_max_retries: int = 3
+    llm_provider: str = "local"
+    llm_base_url: str | None = f"http://localhost:{LOCAL_PORT}/v1/"
     llm_retry_delay: float = 2.0
-    openai_api_key: str | None = None
-    anthropic_api_key: str | None = None
+    llm_max_retries: int = 3
+    llm_temperature: float = 0.0
     embedding_model: str = "hash-64"
-    retrieval_top_k: int = 50
     rerank_top_k: int = 20
+    retrieval_top_k: int = 50
+    log_format: str = "text"
+    log_level: str = "INFO"
+    data_dir: str = "./data"
 
     @property
     def runs_dir(self) -> str:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 TRACKING = (
     "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid igshid ref ref_src spm yclid msclkid".split()
 )
-URL = r"https?://[^\s<>\[\]()\"]+"
+URL = r"https?://[^()<>\[\]\s\"]+"
 MARKER_RUN = r"\[\s*\d+\s*\](?:\s*\[\s*\d+\s*\])*"
-HEADING = r"(?imud)^#{1,6}\s*\**\s*(?:refer[eê]ncias|references|fontes|sources|bibliografia)\b"
+HEADING = r"(?imud)^[#]{1,6}\s*[*]*\s*(?:bibliografia|fontes|sources|refer(?:ences|[eê]ncias))\b"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 ASTERISM = "⁂"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
@@ -185,7 +185,7 @@ def url_variations(url: Column) -> Column:
 def json_object(text: Column, schema: str) -> Column:
     """The object in a model's reply: the whole of it, in a fence, or between the outer braces; null without one."""
     try_ = lambda t: F.from_json(F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), t), schema)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(text, r"(?s)`{3}(?:json|)\s*([{].*?[}])\s*`{3}", 1)
     bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return F.coalesce(*[try_(strip(t)) for t in (text, fenced, bare)])
 

@@ -10,10 +10,10 @@ NOISY = ("py4j", "urllib3", "httpx", "matplotlib")
 
 
 class JsonLines(logging.Formatter):
-    def format(self, record: logging.LogRecord) -> str:
-        row = {"time": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+    def format(self, record):
+        row = {"message": record.getMessage(), "logger": record.name, "level": record.levelname, "time": self.formatTime(record)}
         if record.exc_info:
-            row["exception"] = self.formatException(record.exc_info)
+            row |= {"exception": self.formatException(record.exc_info)}
         return json.dumps(row, ensure_ascii=False)
 
 

@@ -97,10 +97,10 @@ def cascade(url: str, get: Get, sleep: Callable[[float], None], max_retries: int
     status = plain(url, "plain")
     if status == 403:
         status = once(url, "guarded")
-        if status == 403 and not url.lower().split("?")[0].endswith(".pdf"):
+        if status == 403 and url.lower().partition("?")[0][-4:] != ".pdf":
             status = once(url, "browser")
     if status == 404 and "%20" in url:
-        for other in (url.replace("%20", "-"), url.replace("%20", "")):
+        for other in [url.replace("%20", by) for by in ("-", "")]:
             if (plain(other, "variation") or 599) < 400:
                 break
     return rows

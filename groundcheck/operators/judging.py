@@ -144,7 +144,7 @@ class RetryingClient:
                 del self.parameters[named[0]]
 
     def reply(self, system: str, user: str) -> tuple[str, int, int, int]:
-        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        messages = [dict(role=who, content=what) for who, what in (("system", system), ("user", user))]
         for attempt in range(self.max_retries):
             began = time.monotonic()
             try:
@@ -163,7 +163,8 @@ def closed_schema() -> dict:
     """JSON schema of a verdict: all properties required, no others."""
     text = {"type": "string"}
     properties = {"verdict": text | {"enum": list(VERDICTS)}, "justification": text, "cited_excerpts": {"type": "array", "items": text}}
-    return {"type": "json_schema", "json_schema": {"name": "verdict", "strict": True, "schema": {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}}}
+    shape = {"additionalProperties": False, "required": list(properties), "properties": properties, "type": "object"}
+    return {"json_schema": {"strict": True, "name": "verdict", "schema": shape}, "type": "json_schema"}
 
 
 def client(settings, call: Callable | None = None) -> Judge:
@@ -174,4 +175,4 @@ def client(settings, call: Callable | None = None) -> Judge:
         raise ConfigurationError(f"{settings.llm_provider} needs an API key")
     if call is None:
         return ContainmentJudge()
-    return RetryingClient(call, settings.llm_provider, settings.llm_model, temperature=settings.llm_temperature, max_retries=settings.llm_max_retries, retry_delay=settings.llm_retry_delay)
+    return RetryingClient(call, settings.llm_provider, settings.llm_model, retry_delay=settings.llm_retry_delay, temperature=settings.llm_temperature, max_retries=settings.llm_max_retries)

@@ -18,7 +18,7 @@ from ..schemas import EXTRACTED_JSON
 
 REPAIR_BUDGET = 5
 _LEADING_MARKERS = r"^((?:\[\s*\d+\s*\]\s*)+)"
-_TOKEN = r"(?is)(?:\A|(?<=\s))(?:[#*\-][ \t]*)*\d+\.[ \t]*|<u>.*?</u>"
+_TOKEN = r"(?is)(?<!\S)(?:[-*#][\t ]*)*\d+[.][\t ]*|<u>.*?</u>"
 
 
 def _lines(answers: DataFrame, of: Column) -> DataFrame:
@@ -52,7 +52,7 @@ def numbered_entries(answers: DataFrame) -> DataFrame:
     listed = F.regexp_extract_all(T.source_tail(F.col("text")), F.lit(_TOKEN), F.lit(0))
     tokens = answers.select("answer_id", F.posexplode_outer(listed).alias("pos", "token")).where("pos IS NOT NULL")
     part = F.regexp_extract("token", r"(?is)^<u>(.*)</u>\z", 1)
-    tokens = tokens.withColumns({"number": F.regexp_extract("token", r"(?s)^(?:[#*\-][ \t]*)*(\d+)\.[ \t]*\z", 1), "part": part})
+    tokens = tokens.withColumns({"number": F.regexp_extract("token", r"(?s)^[-*#\t ]*(\d+)[.][\t ]*\z", 1), "part": part})
     order = W.partitionBy("answer_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     tokens = tokens.withColumn("entry", F.sum((F.col("number") != "").cast("int")).over(order)).where("entry > 0")
     groups = tokens.groupBy("answer_id", "entry").agg(

@@ -110,8 +110,8 @@ def report(runs: DataFrame, claims: DataFrame, refs: DataFrame, results: DataFra
 
 
 def _table(head: str, rows: Column) -> Column:
-    bars = "|" + "---|" * (head.count("|") - 1)
-    return F.concat(F.lit(f"{head}\n{bars}\n"), F.array_join(rows, "\n"))
+    names = head.split()
+    return F.concat(F.lit("| " + " | ".join(names) + " |\n|" + "---|" * len(names) + "\n"), F.array_join(rows, "\n"))
 
 
 def _row(*cells: Column | str) -> Column:
@@ -159,7 +159,7 @@ def markdown(reports: DataFrame, refs: DataFrame | None = None, shown: DataFrame
     )
     ranking = F.when(n == 0, F.lit("Nenhuma referência citada nos chunks avaliados.")).otherwise(F.concat(
         F.format_string("Referências sem nenhuma citação: %d/%d (%.1f%%)\n\n", uncited, n, pct(uncited.cast("bigint"), n)),
-        _table("| Referência | Status | Citações | SUPPORTED | UNSUPPORTED | CONTRADICTED |", F.transform(stats, line)),
+        _table("Referência Status Citações SUPPORTED UNSUPPORTED CONTRADICTED", F.transform(stats, line)),
     ))
     item = lambda r: F.concat(F.lit("- "), r["raw_url"], F.lit(" — "), F.coalesce(F.nullif(r["error_message"], F.lit("")), F.lit("sem detalhes")))
     part = lambda name, title: F.when(F.size(name) > 0, F.concat(F.lit(f"\n### {title}\n\n"), F.array_join(F.transform(name, item), "\n")))
@@ -176,9 +176,9 @@ def markdown(reports: DataFrame, refs: DataFrame | None = None, shown: DataFrame
         rows = rows.withColumn("examples", F.lit(None).cast("string"))
     sections = F.array_compact(F.array(
         F.concat(F.lit("# Relatório de Auditoria — "), c("tool_name"), F.lit(" ("), c("answer_id"), F.lit(")")),
-        F.concat(F.lit("## 1. Metadados da Execução\n\n"), _table("| Campo | Valor |", F.array(*[_row(f"**{k}**", v) for k, v in meta]))),
-        F.concat(F.lit("## 2. Distribuição de Vereditos\n\n"), _table("| Veredito | Chunks | Percentual |", F.array_compact(F.array(*spread)))),
-        F.concat(F.lit("## 3. Custo e Uso de Tokens\n\n"), _table("| Métrica | Valor |", F.array(*cost))),
+        F.concat(F.lit("## 1. Metadados da Execução\n\n"), _table("Campo Valor", F.array(*[_row(f"**{k}**", v) for k, v in meta]))),
+        F.concat(F.lit("## 2. Distribuição de Vereditos\n\n"), _table("Veredito Chunks Percentual", F.array_compact(F.array(*spread)))),
+        F.concat(F.lit("## 3. Custo e Uso de Tokens\n\n"), _table("Métrica Valor", F.array(*cost))),
         F.concat(F.lit("## 4. Análise por Referência\n\n"), ranking),
         F.when(F.size(lost) > 0, F.concat(F.lit("## 5. Referências Mortas e Inacessíveis\n"), F.array_join(lost, "\n"))),
         c("examples"),

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window as W
 from . import vectors
 
 RETRIEVE, KEEP = 50, 20
-NO_CITATION = "Chunk nao cita nenhuma referencia; modo de recuperacao atual e escopado por citacao."
-_B1, _B2 = "Referencia(s) citada(s) ", " nao possui(em) conteudo indexado (nao baixada(s)/inacessivel(is)) e o modo de recuperacao atual e escopado por citacao."
+_SCOPED = "modo de recuperacao atual e escopado por citacao."
+NO_CITATION = f"Chunk nao cita nenhuma referencia; {_SCOPED}"
+_B1 = "Referencia(s) citada(s) "
+_B2 = " nao possui(em) conteudo indexado " + f"(nao baixada(s)/inacessivel(is)) e o {_SCOPED}"
 PASSAGE = "struct<reference_chunk_id: string, reference_id: string, score: double, text: string>"
 
 

@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
 
@@ -23,9 +23,11 @@ CLAIMS_PER_TASK = 20_000
 
 
 class Embedder(Protocol):
+    """A model: texts to vectors of one length."""
+
     dimension: int
 
-    def encode(self, texts: list[str]) -> list[list[float]]: ...
+    def encode(self, batch: Sequence[str]) -> Sequence[Sequence[float]]: ...
 
 
 @lru_cache(1 << 16)
@@ -39,9 +41,9 @@ class HashEmbedder:
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
-    def encode(self, texts: list[str]) -> list[list[float]]:
+    def encode(self, batch: Sequence[str]) -> Sequence[Sequence[float]]:
         out = []
-        for text in texts:
+        for text in batch:
             v = [0.0] * self.dimension
             for word, n in Counter(re.findall(r"\w+", text.lower())).items():
                 h = _word_hash(word)

@@ -22,7 +22,7 @@ from .operators import fetching, judging, passages, references, reporting, retri
 from .sources import convert
 
 log = logging.getLogger("groundcheck.pipeline")
-STAGES = ("extraction", "ingestion", "indexing", "judging", "reporting")
+STAGES = tuple("extraction ingestion indexing judging reporting".split())
 
 
 class Workspace:

@@ -552,7 +552,7 @@ class _Fixed:
     provider, model = "local", "fixed"
 
     def reply(self, system: str, user: str) -> tuple[str, int, int, int]:
-        return '{"verdict": "supported", "justification": "ok"}', 3, 2, 1
+        return '{"justification": "fits", "verdict": "supported"}', 3, 2, 1
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS answer_chunk_id, CASE WHEN doc_id % 5 = 1 THEN 'unsupported' ELSE 'supported' END AS verdict, CAST(CASE WHEN doc_id % 5 = 1 THEN 0 ELSE 3 END AS BIGINT) AS prompt_tokens FROM labels SEMI JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0")

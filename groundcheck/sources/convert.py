@@ -18,15 +18,15 @@ _DROP = frozenset("script style nav noscript template aside footer form head".sp
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 
-def decode_any(content: bytes, content_type: str) -> str:
+def decode_any(raw: bytes, kind: str | None) -> str:
     """Text of fetched bytes: the declared charset where it fits strictly, else UTF-8, else Windows-1252."""
-    declared = _CHARSET.search(content_type or "")
+    declared = _CHARSET.search(kind or "")
     for name in ([declared[1]] if declared else []) + ["utf-8"]:
         try:
-            return content.decode(name)
+            return raw.decode(name)
         except (LookupError, UnicodeDecodeError):
             continue
-    return content.decode("windows-1252", "replace")
+    return raw.decode("windows-1252", "replace")
 
 
 class _Markdown(HTMLParser):

@@ -7,7 +7,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+NS = "{http://schemas.openxmlformats.org" + "/wordprocessingml/2006/main}"
 
 
 def heading_level(style: str) -> int:
@@ -22,9 +22,9 @@ def _run(run: ElementTree.Element) -> str:
         for node in run
     )
     raised = run.find(f"{NS}rPr/{NS}vertAlign")
-    digits = re.findall(r"\d+", text)
-    if raised is not None and raised.get(NS + "val") == "superscript" and digits:
-        return "".join(f"[{d}]" for d in digits)
+    marks = re.findall("[0-9]+", text)
+    if marks and raised is not None and raised.get(NS + "val") == "superscript":
+        return "".join(map("[{}]".format, marks))
     return text
 
 
@@ -65,4 +65,4 @@ def to_markdown(content: bytes) -> str:
             blocks.append(_paragraph(node, styles))
         elif node.tag == NS + "tbl":
             blocks += _table(node, styles)
-    return "\n\n".join(b for b in blocks if b.strip())
+    return "\n\n".join(filter(str.strip, blocks))

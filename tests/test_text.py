@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, unquote, urlencode, urlsplit, urlunsplit
+import urllib.parse as up
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,13 +20,13 @@ def by_library(url: str) -> str:
     doi = low.split("doi.org/", 1)[1].strip("/") if "doi.org/" in low else low.strip("/") if low.startswith("10.") and "/" in low else ""
     if doi:
         return "https://doi.org/" + doi
-    p = urlsplit(unquote(url))
-    scheme = "https" if p.scheme in ("http", "https", "") else p.scheme
+    p = up.urlsplit(up.unquote(url))
+    scheme = p.scheme if p.scheme not in ("", "http", "https") else "https"
     host = p.netloc.lower().removeprefix("www.")
     if scheme == "https":
         host = host.removesuffix(":443")
-    pairs = sorted(kv for kv in parse_qsl(p.query, keep_blank_values=True) if kv[0].lower() not in T.TRACKING)
-    return urlunsplit((scheme, host, p.path.rstrip("/"), urlencode(pairs), ""))
+    pairs = sorted(kv for kv in up.parse_qsl(p.query, keep_blank_values=True) if kv[0].lower() not in T.TRACKING)
+    return up.urlunsplit((scheme, host, p.path.rstrip("/"), up.urlencode(pairs), ""))
 
 
 URLS = [
