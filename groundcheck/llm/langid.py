@@ -3,7 +3,8 @@
 A language is a distribution over hashed letter trigrams. For each document, expectation-maximisation estimates what
 share of its trigrams comes from each language, and the set of languages is chosen by penalised likelihood (BIC):
 languages are added one at a time while the gain in log-likelihood pays for them. A uniform background component "und"
-stands for text of no known language; a document is rejected where no language is chosen.
+stands for text of no known language, for which fewer than ``LEAST_UNKNOWN`` trigrams are no evidence; a document is
+rejected where "und" is its primary language.
 
 The trigram tables are fitted on a bounded sample of labelled rows, ``ROWS_PER_LANGUAGE`` of each language (those with
 the least hash of doc_id and text); every text is then scored in full.
@@ -29,6 +30,7 @@ from .common import lean
 ROWS_PER_LANGUAGE = 400
 BUCKETS = 1 << 16
 LEAST_SHARE = 0.05
+LEAST_UNKNOWN = 20
 OVERLAP = 3  # each letter is in three trigrams, so their evidence is counted a third
 SCHEMA = "doc_id bigint, lang string, languages array<string>, shares array<double>, n_grams bigint, score double, accepted boolean"
 _LETTER: list[np.ndarray] = []
@@ -77,7 +79,7 @@ class Model:
         at = grams(text)
         if not len(at) or not self.languages:
             return "und", [], [], len(at), 0.0, False
-        p = self.table[at]
+        p = self.table[at] if len(at) >= LEAST_UNKNOWN else self.table[at, :-1]
         price = OVERLAP * np.log(len(at) + 1.0)
         alone = np.log(p).sum(axis=0, dtype=np.float64)
         chosen = [int(alone.argmax())]

@@ -62,6 +62,13 @@ def test_odd_rows(spark, odd, none, fitted):
     assert langid.identified(none).collect() == [] and langid.accepted(none).collect() == []
 
 
+def test_unknown_language_needs_evidence(fitted):
+    model, _ = fitted
+    strange = "ქართული ენა არის ლამაზი და ძველი ენა საქართველოში და სხვაგან"
+    assert model.identify(strange)[0] == "und" and not model.identify(strange)[5]
+    assert model.identify("ქართ")[5] and model.identify("Von.")[0] == "de"
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (3, "", "en")], "doc_id bigint, text string, lang string")
     rows = langid.identified(docs).collect()
