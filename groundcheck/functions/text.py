@@ -203,14 +203,3 @@ def whole_header(text: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1))
-
-
-def decode_bytes(content: Column, content_type: Column) -> Column:
-    """Text of fetched bytes: the declared charset where it fits, else UTF-8, else Windows-1252.
-
-    Charsets beyond the three commonest are for ``sources.convert.decode_any``.
-    """
-    declared = F.lower(F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w.:-]+)", 1))
-    latin = F.decode(content, "ISO-8859-1")
-    utf = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
-    return F.when(declared.isin("iso-8859-1", "latin-1", "latin1"), latin).otherwise(F.coalesce(utf, F.expr("NULL").cast("string")))

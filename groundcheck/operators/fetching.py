@@ -123,6 +123,18 @@ def fetch(refs: DataFrame, get: Get, partitions: int = 4, sleep: Callable[[float
     return todo.repartition(partitions, host).mapInPandas(run, FETCH_ATTEMPTS)
 
 
+def refetch(rows: DataFrame, get: Get, partitions: int = 4) -> DataFrame:
+    """One browser attempt at each (reference_id, url): for pages that were fetched but had no text to convert."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["reference_id", "url", "strategy", "attempt", "http_status", "error_kind", "content", "content_type"]
+        for pdf in batches:
+            got = [(i, u, "browser", 0, *get(u, "browser")[:4]) for i, u in zip(pdf["reference_id"], pdf["url"])]
+            yield pd.DataFrame(got, columns=names).astype({"attempt": "int32", "http_status": "Int32"})
+
+    return rows.select("reference_id", "url").repartition(partitions, "url").mapInPandas(run, FETCH_ATTEMPTS)
+
+
 def pending(refs: DataFrame, documents: DataFrame) -> DataFrame:
     """References without a document yet."""
     return refs.join(documents.select(F.col("reference_id").alias("id")), "id", "left_anti")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from . import logs, schemas
 from .config import Settings
 from .errors import ConfigurationError
+from .functions import text as T
 from .operators import claims as claims_op
 from .operators import fetching, judging, passages, references, reporting, retrieval, vectors
 from .sources import convert
@@ -64,6 +66,12 @@ class Workspace:
         fs.rename(fs_path(spare), fs_path(f"{self.root}/{name}"))
         self.spark.catalog.refreshByPath(f"{self.root}/{name}")
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read again: what comes from outside is asked for once."""
+        path = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def views(self) -> None:
         """Every table as a temporary view, for SQL."""
         for name in self.SCHEMAS:
@@ -84,6 +92,7 @@ class Audit:
     reranker: Callable | None = None
     max_tokens: int = passages.MAX_TOKENS
     overlap: int = passages.OVERLAP
+    retry_failed: bool = False
 
     def extraction(self) -> None:
         s = self.space
@@ -94,22 +103,37 @@ class Audit:
         s.append("claims", claims_op.claims(new, s.read("references")))
 
     def ingestion(self) -> None:
+        """Fetch what has no document and no attempt yet (with ``retry_failed``, what failed too); convert what came.
+
+        A page whose conversion fails gets one attempt in the browser. Attempts and conversions are written before they
+        are read, so none is made twice.
+        """
         s = self.space
         refs, held = s.read("references"), s.read("documents")
-        tried = s.read("fetch_attempts").select(F.col("reference_id").alias("id"))
-        todo = fetching.pending(refs, held).join(tried, "id", "left_anti")
+        todo = fetching.pending(refs, held)
+        if not self.retry_failed:
+            todo = todo.join(s.read("fetch_attempts").select(F.col("reference_id").alias("id")), "id", "left_anti")
         s.append("fetch_attempts", fetching.fetch(todo, self.get))
         attempts = s.read("fetch_attempts")
         outcomes = fetching.outcome(attempts)
         good = outcomes.where("status = 'downloaded'")
-        body = attempts.where("http_status < 400").groupBy("reference_id").agg(F.max_by(F.struct("url", "content", "content_type"), F.struct("strategy", "attempt")).alias("b")).select("reference_id", "b.*")
+        rank = F.array_position(F.array(*[F.lit(x) for x in ("variation", "plain", "guarded", "browser")]), F.col("strategy"))
+        last = F.max_by(F.struct("url", "content", "content_type", "strategy"), F.struct(rank, "attempt"))
+        body = attempts.where("http_status < 400").groupBy("reference_id").agg(last.alias("b")).select("reference_id", "b.*")
         fresh = body.join(good.select("reference_id"), "reference_id", "left_semi").join(held.select("reference_id"), "reference_id", "left_anti")
-        made = convert.convert(fresh, self.pdf)
-        s.append("documents", convert.documents(made, good))
-        broken = made.where("markdown IS NULL").select("reference_id", F.lit("error").alias("status"), F.lit(None).cast("int").alias("http_status"), F.col("error").alias("error_message"))
+        made = s.keep("converted", convert.convert(fresh, self.pdf))
+        empty = fresh.join(made.where("markdown IS NULL").select("reference_id"), "reference_id", "left_semi")
+        seen = empty.where((F.col("strategy") != "browser") & ~T.is_pdf(F.coalesce("content_type", F.lit("")), F.col("url")))
+        second = s.keep("refetched", fetching.refetch(seen, self.get))
+        remade = s.keep("reconverted", convert.convert(second.where("http_status < 400"), self.pdf))
+        by_browser = remade.select("reference_id", F.lit("playwright").alias("fetch_method"))
+        s.append("documents", convert.documents(made, good).unionByName(convert.documents(remade, by_browser)))
+        s.append("fetch_attempts", second)
+        broken = made.where("markdown IS NULL").join(remade.where("markdown IS NOT NULL").select("reference_id"), "reference_id", "left_anti")
+        broken = broken.select("reference_id", F.lit("error").alias("status"), F.lit(None).cast("int").alias("http_status"), F.col("error").alias("error_message"))
         names = ["reference_id", "status", "http_status", "error_message"]
         all_ = outcomes.select(names).join(broken.select("reference_id"), "reference_id", "left_anti").unionByName(broken.select(names))
-        s.replace("references", fetching.with_status(refs, all_, s.read("documents"), F.current_timestamp()))
+        s.replace("references", fetching.with_status(refs, s.keep("outcomes", all_), s.read("documents"), F.current_timestamp()))
 
     def indexing(self) -> None:
         s = self.space
@@ -139,9 +163,7 @@ class Audit:
         results, errors = judging.judge(s.read("claims"), ask, self.judge)
         order = F.monotonically_increasing_id() + s.read("results").agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
         both = results.select("*", F.lit(None).cast("string").alias("raw")).unionByName(errors.select("answer_chunk_id", "raw"), allowMissingColumns=True)
-        path = f"{s.root}/.judged-{int(time.time() * 1000)}"
-        both.write.parquet(path)  # each reply is asked for once; both tables come from it
-        got = s.spark.read.parquet(path)
+        got = s.keep("judged", both)
         s.append("results", got.where("raw IS NULL").drop("raw").withColumn("seq", order))
         s.append("judge_errors", got.where("raw IS NOT NULL").select("answer_chunk_id", "raw", F.lit("parse").alias("error")))
 
@@ -155,7 +177,9 @@ class Audit:
         s = self.space
         rows = self.report()
         shown = reporting.examples(s.read("results"), s.read("claims"), s.read("references"))
-        reporting.markdown(rows, s.read("references"), shown, self.settings.judge_config()).write.mode("overwrite").parquet(f"{s.root}/report_md")
+        text = s.keep("rendered", reporting.markdown(rows, s.read("references"), shown, self.settings.judge_config()))
+        text.write.mode("overwrite").parquet(f"{s.root}/report_md")
+        text.write.mode("overwrite").partitionBy("run_id").text(f"{s.root}/report_text")
         reporting.report_json(rows).write.mode("overwrite").parquet(f"{s.root}/report_json")
 
     def pending_count(self) -> int:

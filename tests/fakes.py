@@ -18,3 +18,9 @@ class Counting(judging.ContainmentJudge):
 
     def reply(self, system, user):
         return ("not json", 1, 1, 1) if self.bad and "internet law" in user.split("EVIDENCE")[0] else super().reply(system, user)
+
+
+def script_get(url, strategy):
+    """A page that has text only in a browser, and one that has none."""
+    page = b"<p>A claim that a script wrote</p>" if strategy == "browser" and url.endswith("script") else b"<script>x</script>"
+    return 200, None, page, "text/html", None

@@ -12,7 +12,7 @@ from groundcheck.errors import ConfigurationError, LLMParseError, LLMProviderErr
 from groundcheck.operators import fetching, judging, passages, reporting, retrieval, vectors
 from groundcheck.pipeline import Audit, Workspace, load_run, start
 from groundcheck.streaming.audits import answer_stream, audit_stream
-from tests.fakes import Counting, get
+from tests.fakes import Counting, get, script_get
 
 ANSWER = "The data law protects people [1]. The internet law is older [2]. A guess [7].\n\n## Sources\n[1] Data law https://e.com/data\n[2] Net law https://e.com/net\n[3] Gone https://e.com/gone"
 
@@ -184,6 +184,24 @@ def test_whole_audit(spark, tmp_path):
         load_run(space, "zzz")
 
 
+def test_page_without_text_is_fetched_by_the_browser(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "runs"))
+    text = "A claim [1]. More [2].\n## Sources\n[1] S https://e.com/script\n[2] T https://e.com/blank"
+    start(space, spark.createDataFrame([("a", "tool", ".md", text)], "answer_id string, tool_name string, suffix string, text string"))
+    audit = Audit(space, script_get)
+    audit.run()
+    refs = {r["raw_url"]: r for r in space.read("references").collect()}
+    assert refs["https://e.com/script"]["status"] == "downloaded" and refs["https://e.com/blank"]["status"] == "error"
+    doc = space.read("documents").first()
+    assert doc["fetch_method"] == "playwright" and doc["markdown"] == "A claim that a script wrote"
+    n = space.read("fetch_attempts").count()
+    audit.ingestion()
+    assert space.read("fetch_attempts").count() == n
+    Audit(space, script_get, retry_failed=True).ingestion()
+    assert space.read("fetch_attempts").count() > n and space.read("documents").count() == 1
+    assert (tmp_path / "runs" / "report_text" / "run_id=a").is_dir()
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write = lambda n, *ids: (tmp_path / "in" / n).write_text("".join(json.dumps({"answer_id": i, "tool_name": "t", "suffix": ".md", "text": ANSWER}) + "\n" for i in ids))
