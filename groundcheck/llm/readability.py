@@ -123,7 +123,7 @@ def paragraphs(node: Node, out: list[str]) -> None:
     """Texts of the blocks in ``node``, in reading order."""
     line: list[str] = []
 
-    def flush() -> None:
+    def end_block() -> None:
         text = SPACE.sub(" ", _html.unescape("".join(line))).strip()
         if text:
             out.append(text)
@@ -136,13 +136,13 @@ def paragraphs(node: Node, out: list[str]) -> None:
         if kid is None:
             stack.pop()
             if ends.pop():
-                flush()
+                end_block()
         elif isinstance(kid, str):
             line.append(kid)
         elif not kid.dead:
             block = kid.tag in BLOCK
             if block:
-                flush()
+                end_block()
             stack.append(iter(kid.kids))
             ends.append(block)
 
