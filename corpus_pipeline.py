@@ -53,5 +53,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, cut(docs) if number else docs, sf_dir)
+        docs = stage(spark, cut(docs, free=True) if number else docs, sf_dir)
     return docs

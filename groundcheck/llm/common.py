@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -48,12 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(sc.getCheckpointDir())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at files that outlive executors."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at files that outlive executors.
+
+    ``free`` also has the driver collect its garbage, so that the shuffle files behind ``df`` go before more are written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -204,7 +204,7 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate spans taken out of the text (and n_chars set anew); documents left empty by that go."""
     key, held = fresh(docs, "_key"), fresh(docs, "_spans")
-    spans = cut(factors(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
+    spans = cut(factors(docs), free=True).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, spans: pd.Series) -> pd.Series:

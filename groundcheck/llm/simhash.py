@@ -136,7 +136,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .repartition(F.col("t"), part.bitwiseAND(mask))
         .mapInArrow(_edges, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
     )
-    edges = cut(edges.distinct())
+    edges = cut(edges.distinct(), free=True)
     side = lambda n: nodes.select(F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"), F.col("node").alias(f"n{n}"))
     roots = components(edges.join(side(1), ["a1", "b1"]).join(side(2), ["a2", "b2"]), "n1", "n2")
     of = nodes.join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("kept_id"))
