@@ -155,7 +155,7 @@ def _spans(cols: list[np.ndarray], end: bool) -> tuple[pa.RecordBatch, list[np.n
         out = [_span(doc[i], pos[i:j], src[i:j], at[i:j]) for i, j in zip(cuts[:-1], cuts[1:])][: None if end else -1]
         cols = [x[cuts[-2] :] for x in cols]
     names = ["doc_id", "start", "stop", "source_id", "source_start", "factors"]
-    arrays = [pa.array([int(r[i]) for r in out], pa.int64()) for i in range(6)]
+    arrays = [pa.array([int(r[i]) for r in out], pa.int64() if i in (0, 3) else pa.int32()) for i in range(6)]
     return pa.RecordBatch.from_arrays(arrays, names), cols
 
 
@@ -184,7 +184,7 @@ def factors(docs: DataFrame) -> DataFrame:
         .select("doc_id", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), place(F.col("first.m")).alias("at"))
     )
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(
-        _parse, "doc_id bigint, start bigint, stop bigint, source_id bigint, source_start bigint, factors bigint"
+        _parse, "doc_id bigint, start int, stop int, source_id bigint, source_start int, factors int"
     )
 
 

@@ -126,7 +126,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_id, group_size) of every document that goes: it is in the group of ``kept_id``, which stays."""
+    """(doc_id, kept_id) of every document that goes: it is in the group of ``kept_id``, which stays."""
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("a", "b").agg(F.min("doc_id").alias("node")))
     mask = F.element_at(F.array(*[F.lit(m) for m in MASKS * 2]), F.col("t") + 1)
@@ -140,9 +140,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     side = lambda n: nodes.select(F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"), F.col("node").alias(f"n{n}"))
     roots = components(edges.join(side(1), ["a1", "b1"]).join(side(2), ["a2", "b2"]), "n1", "n2")
     of = nodes.join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("kept_id"))
-    member = prints.join(of, ["a", "b"]).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
-    sizes = member.groupBy("kept_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    return member.where("doc_id <> kept_id").join(sizes, "kept_id").select("doc_id", "kept_id", "group_size")
+    return prints.join(of, ["a", "b"]).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).where("doc_id <> kept_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
