@@ -1,9 +1,10 @@
 """Licence scan with a generalised suffix automaton of licence tokens.
 
 The automaton holds every token run of every template. Files stream through it token by token: each position's matching
-statistic is the longest run that ends there and stands in some template. Maximal runs of at least ``MIN_RUN`` tokens
-(or of a whole template, where that is shorter) are placed in their templates and chained in order; a chain that covers
-at least ``COVER`` of a template is a span.
+statistic is the longest run that ends there and stands in some template; the suffix links from it lead to the templates
+that hold a shorter run only. For each place of each template, the runs of at least ``MIN_RUN`` tokens (or of a whole
+template, where that is shorter) that can be extended to neither side are chained in order; a chain that covers at least
+``COVER`` of a template is a span.
 
 Defined cases: null and empty texts have no span; tokens are runs of letters and digits, in lower case, so punctuation
 and line breaks do not matter; of spans that overlap the one with most matched tokens stays, ties going to the
@@ -83,30 +84,39 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
         return new
 
-    def runs(self, words: list[str], least: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the maximal matches of at least ``least`` tokens: those that the next token ends."""
+    def steps(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
+        """(end, length, state) of the longest match that ends at each token, where it has at least ``least`` tokens."""
         moves, link, length = self.next, self.link, self.length
-        found, state, size = [], 0, 0
-        root = moves[0]
-        for i, word in enumerate(words):
-            if state == 0:
-                state = root.get(word, 0)
-                size = 1 if state else 0
-                continue
+        state, size = 0, 0
+        for i, word in enumerate(words, 1):
             to = moves[state].get(word)
-            if to is not None:
-                state, size = to, size + 1
-                continue
-            if size >= least:
-                found.append((i, size, state))
             while state and to is None:
                 state = link[state]
                 to = moves[state].get(word)
                 size = length[state]
             state, size = (to, size + 1) if to is not None else (0, 0)
-        if size >= least:
-            found.append((len(words), size, state))
-        return found
+            if size >= least:
+                yield i, size, state
+
+    def runs(self, words: list[str], least: int) -> list[tuple[int, int, int]]:
+        """(end, length, state) of the maximal matches of at least ``least`` tokens: those that the next token ends."""
+        return [(i, n, s) for i, n, s in self.steps(words, least) if i == len(words) or words[i] not in self.next[s]]
+
+    def hits(self, words: list[str], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(list, start in words, start in list, length) of the matches with each place that neither side extends."""
+        moves, link, length, ends = self.next, self.link, self.length, self.ends
+        none: set[tuple[int, int]] = set()
+        for i, n, s in self.steps(words, least):
+            longer = none  # places where more than n tokens match
+            while n >= least:
+                to = moves[s].get(words[i]) if i < len(words) else None
+                on = ends[to] if to is not None else none
+                if len(on) < len(ends[s]):  # else the next token extends the match at all places
+                    for which, at in ends[s]:
+                        if (which, at + 1) not in on and (which, at) not in longer:
+                            yield which, i - n, at - n, n
+                longer, s = ends[s], link[s]
+                n = length[s]
 
 
 class Scanner:
@@ -123,11 +133,11 @@ class Scanner:
         if not text:
             return []
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for end, size, state in self.automaton.runs(tokens(text), self.least):
-            for which, at in self.automaton.ends[state]:
-                if size >= MIN_RUN or which in self.whole and size == self.sizes[which]:
-                    by.setdefault(which, []).append((end - size, at - size, size))
-        spans = [s for which, hits in by.items() for s in self._chains(which, sorted(hits))]
+        for which, start, at, size in self.automaton.hits(tokens(text), self.least):
+            if size >= MIN_RUN or which in self.whole and size == self.sizes[which]:
+                by.setdefault(which, []).append((start, at, size))
+        enough = [(which, hits) for which, hits in by.items() if sum(h[2] for h in hits) >= COVER * self.sizes[which]]
+        spans = [s for which, hits in enough for s in self._chains(which, sorted(hits))]
         spans.sort(key=lambda s: (-s[3], -s[4], s[1], s[0]))
         taken: list[tuple[str, int, int, int, float]] = []
         for s in spans:
@@ -138,16 +148,17 @@ class Scanner:
     def _chains(self, which: int, hits: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
         """Best chains: hits in order in both text and template, at most GAP text tokens apart; overlaps count once."""
         best: list[tuple[int, int]] = []  # matched tokens, start
+        near: list[int] = []
         for i, (x, y, n) in enumerate(hits):
             here = (n, x)
-            for j in range(i - 1, -1, -1):
+            near = [j for j in near if x - hits[j][0] - hits[j][2] <= GAP]
+            for j in near:
                 px, py, pn = hits[j]
-                if x - px > GAP + self.sizes[which]:
-                    break
                 lap = max(0, px + pn - x, py + pn - y)
-                if px < x and py < y and lap < n and x - px - pn <= GAP:
+                if px < x and py < y and lap < n:
                     here = max(here, (best[j][0] + n - lap, best[j][1]), key=lambda c: (c[0], -c[1]))
             best.append(here)
+            near.append(i)
         return [
             (self.names[which], start, x + n, got, round(min(1.0, got / self.sizes[which]), 6))
             for (x, _, n), (got, start) in zip(hits, best) if got >= COVER * self.sizes[which]

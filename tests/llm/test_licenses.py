@@ -62,3 +62,27 @@ def test_every_notice_of_the_table(spark, small):
     want = {r["doc_id"] for r in docs if re.search(r"licensed\W+under|under\W+the\W+mit\W+license", r["text"].lower())}
     got = {r["doc_id"] for r in L.scanned(spark.read.parquet(f"{small}/documents.parquet")).collect()}
     assert got == want
+
+
+def test_hits_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        lists = [[rng.choice("abc") for _ in range(rng.randrange(0, 12))] for _ in range(rng.randrange(1, 4))]
+        words = [rng.choice("abcd") for _ in range(rng.randrange(0, 25))]
+        want = set()
+        for w, x in enumerate(lists):
+            for i in range(len(words)):
+                for j in range(len(x)):
+                    if words[i] == x[j] and not (i and j and words[i - 1] == x[j - 1]):
+                        n = next((n for n in range(1, len(x)) if words[i + n : i + n + 1] != x[j + n : j + n + 1] or i + n == len(words)), len(x) - j)
+                        want.add((w, i, j, n))
+        for least in (1, 3):
+            got = list(L.Automaton(lists).hits(words, least))
+            assert len(got) == len(set(got)) and set(got) == {h for h in want if h[3] >= least}
+
+
+def test_notice_followed_by_words_of_a_longer_template():
+    scanner = L.Scanner(L.TEMPLATES)
+    for more in ("The parser ...", '(the "License"). All rights reserved.', "you may not", "zzz"):
+        got = scanner.scan(f"zzz Licensed under the Apache License, Version 2.0. {more}")
+        assert [(s[0], s[1], s[2], s[4]) for s in got] == [("Apache-2.0-notice", 1, 9, 1.0)]
