@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +42,38 @@ TEMPLATES = {
 }
 
 
+def _gnu(work: str, family: str, version: str) -> str:
+    """The header that files under a GNU licence carry."""
+    return TEMPLATES["GPL-3.0"].replace("This program", f"This {work}").replace("this program", f"this {work}").replace("General Public", f"{family}General Public").replace("version 3", f"version {version}")
+
+
+#: Close relatives of the above, each under its own name, so that they compete for a span.
+TEMPLATES |= {
+    **{f"GPL-{v}.0": _gnu("program", "", v) for v in ("1", "2")},
+    **{f"AGPL-{v}.0": _gnu("program", "Affero ", v) for v in ("1", "3")},
+    **{f"LGPL-{v}": _gnu("library", "Lesser " if v != "2.0" else "Library ", v.removesuffix(".0")) for v in ("2.0", "2.1", "3.0")},
+    **{f"LGPL-{v}-program": _gnu("program", "Lesser " if v != "2.0" else "Library ", v.removesuffix(".0")) for v in ("2.0", "2.1", "3.0")},
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an AS IS basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSD-2-Clause": TEMPLATES["BSD-3-Clause"].split(" Neither the name")[0],
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    **{f"GPL-{v}.0-notice": f"This work is licensed under the GNU General Public License, version {v}." for v in ("1", "2")},
+    **{f"LGPL-{v}-notice": f"This work is licensed under the GNU Lesser General Public License, version {v.removesuffix('.0')}." for v in ("2.1", "3.0")},
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    **{f"CC-{k}-4.0-notice": f"Licensed under CC {k} 4.0." for k in ("BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "CC-BY-4.0-short-notice": "Licensed under CC BY 4.0.",
+    **{
+        f"CC-{k}-4.0-long-notice": f"This work is licensed under a Creative Commons Attribution-{what} 4.0 International License."
+        for k, what in {"BY-SA": "ShareAlike", "BY-ND": "NoDerivatives", "BY-NC": "NonCommercial", "BY-NC-SA": "NonCommercial-ShareAlike", "BY-NC-ND": "NonCommercial-NoDerivatives"}.items()
+    },
+}
+#: The full texts, of which the above are headers and notices.
+TEMPLATES |= {f"{file.stem}-text": file.read_text("utf-8") for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
@@ -165,12 +199,18 @@ class Scanner:
         ]
 
 
+@lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    """Kept by a Python worker from task to task."""
+    return Scanner(dict(templates))
+
+
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Licence spans of every document; one narrow stage without a shuffle."""
-    chosen = TEMPLATES if templates is None else templates
+    shared = docs.sparkSession.sparkContext.broadcast(tuple((TEMPLATES if templates is None else templates).items()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(chosen)
+        scanner = _scanner(shared.value)
         for pdf in batches:
             rows = [(d, *s) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for s in scanner.scan(t)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "start_token", "end_token", "matched", "coverage"])

@@ -86,3 +86,47 @@ def test_notice_followed_by_words_of_a_longer_template():
     for more in ("The parser ...", '(the "License"). All rights reserved.', "you may not", "zzz"):
         got = scanner.scan(f"zzz Licensed under the Apache License, Version 2.0. {more}")
         assert [(s[0], s[1], s[2], s[4]) for s in got] == [("Apache-2.0-notice", 1, 9, 1.0)]
+
+
+def test_close_relatives_are_reported_under_their_own_names():
+    scanner = L.Scanner(L.TEMPLATES)
+    header = (
+        "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by "
+        "the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU {1}General Public License for more details."
+    )
+    two = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    )
+    want = {
+        header.format("program", "", "3"): "GPL-3.0",
+        header.format("program", "", "2"): "GPL-2.0",
+        header.format("program", "", "2").replace("either version 2 of the License, or (at your option) any later version", "version 2 of the License"): "GPL-2.0",
+        header.format("program", "Affero ", "3"): "AGPL-3.0",
+        header.format("library", "Lesser ", "2.1"): "LGPL-2.1",
+        header.format("library", "Lesser ", "3"): "LGPL-3.0",
+        header.format("program", "Lesser ", "3"): "LGPL-3.0-program",
+        two: "BSD-2-Clause",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": None,
+        L.TEMPLATES["MPL-2.0"]: "MPL-2.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0-long-notice",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1-notice",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-notice",
+    }
+    for text, name in want.items():
+        assert [s[0] for s in scanner.scan(f"zzz {text} zzz")] == ([] if name is None else [name]), text
+
+
+def test_full_texts_with_edits():
+    scanner = L.Scanner(L.TEMPLATES)
+    full = [n for n in L.TEMPLATES if n.endswith("-text")]
+    want = {f"{n}-text" for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+    assert want <= set(full)
+    for name in full:
+        edited = " ".join("zzz" if i % 60 == 30 else w for i, w in enumerate(L.TEMPLATES[name].split()))
+        assert [s[0] for s in scanner.scan(edited)] == [name]
