@@ -1,8 +1,8 @@
 """Language identification of texts that may mix languages.
 
 A language is a distribution over hashed letter trigrams. For each document, expectation-maximisation estimates what
-share of its trigrams comes from each language, and the set of languages is chosen by penalised likelihood (BIC):
-languages are added one at a time while the gain in log-likelihood pays for them. A uniform background component "und"
+share of its trigrams comes from each language, and the set of languages is chosen by penalised likelihood (BIC) alone:
+languages are added one at a time, the best of all that are left, while the gain in log-likelihood pays for them. A uniform background component "und"
 stands for text of no known language, for which fewer than ``LEAST_UNKNOWN`` trigrams are no evidence; a document is
 rejected where "und" is its primary language.
 
@@ -29,7 +29,6 @@ from .common import lean
 
 ROWS_PER_LANGUAGE = 400
 BUCKETS = 1 << 16
-LEAST_SHARE = 0.05
 LEAST_UNKNOWN = 20
 OVERLAP = 3  # each letter is in three trigrams, so their evidence is counted a third
 SCHEMA = "doc_id bigint, lang string, languages array<string>, shares array<double>, n_grams bigint, score double, accepted boolean"
@@ -84,16 +83,20 @@ class Model:
         alone = np.log(p).sum(axis=0, dtype=np.float64)
         chosen = [int(alone.argmax())]
         share, best = np.ones(1), float(alone[chosen[0]])
-        prior, bound = self.mixture(p)
-        while len(chosen) < p.shape[1] and 2 * (bound - best) > price:  # else no set can pay for one more
+        while len(chosen) < p.shape[1]:
+            pull = (1 / (p[:, chosen] @ share.astype(np.float32))) @ p / len(p)
+            most = 2 * len(p) * (np.maximum(pull, pull[chosen].max()) - 1)  # the likelihood is concave, so no gain is greater
             tries = []
-            for other in sorted(set(range(p.shape[1])) - set(chosen), key=lambda c: -prior[c])[:3]:
-                s, ll = self.mixture(p[:, [*chosen, other]])
-                tries.append((ll, other, s))
-            ll, other, s = max(tries, key=lambda x: x[0])
-            if 2 * (ll - best) <= price or s[-1] < LEAST_SHARE:
+            for other in np.flatnonzero(most > price):
+                if other not in chosen:
+                    s, ll = self.mixture(p[:, [*chosen, other]], 200, 1e-4)
+                    tries.append((ll, -int(other), s))
+            if not tries:
                 break
-            chosen, share, best = [*chosen, other], s, ll
+            ll, other, s = max(tries, key=lambda x: x[:2])
+            if 2 * (ll - best) <= price:
+                break
+            chosen, share, best = [*chosen, -other], s, ll
         names = [*self.languages, "und"]
         order = sorted(range(len(chosen)), key=lambda i: (-share[i], names[chosen[i]]))
         known = [(names[chosen[i]], float(share[i])) for i in order]

@@ -81,3 +81,28 @@ def test_sample_is_bounded(spark):
     assert model.languages == ["de", "en"]
     whole = langid.train(docs, 1000)
     assert not np.allclose(model.table, whole.table)
+
+
+def test_small_part_of_a_long_text(fitted):
+    model, rows = fitted
+    words = {l: " ".join(t for t in rows[(rows["lang"] == l) & (rows["doc_id"] % 2 == 1)]["text"] if t).split() for l in ("en", "de", "fr")}
+    long = words["en"][:15_000]
+    alone = model.identify(" ".join(long))
+    assert len(long) > 8_000 and alone[0] == "en" and alone[2][0] > 0.99  # few rows: trigrams not seen go to others
+    for part in (0.02, 0.01):
+        second = words["de"][: int(part * len(long))]
+        primary, names, shares, n, _, ok = model.identify(" ".join(long + second))
+        want = len(langid.grams(" ".join(second))) / n
+        assert names[:2] == ["en", "de"] and primary == "en" and ok and shares[1] == pytest.approx(want, rel=0.4)
+    three = model.identify(" ".join(long + words["de"][:150] + words["fr"][:150]))
+    assert three[1][0] == "en" and {"en", "de", "fr"} <= set(three[1])
+
+
+def test_every_language_is_tried():
+    counts = np.zeros((6, langid.BUCKETS))
+    texts = [" ".join(f"{a}{b}{c}" for b in "lmnr" for c in "aeiou") for a in "bcdfgk"]
+    for i, t in enumerate(texts):
+        counts[i] += 50 * np.bincount(langid.grams(t), minlength=langid.BUCKETS)
+    model = langid.Model(list("bcdfgk"), counts)
+    got = model.identify(" ".join([texts[0]] * 200 + [t for t in texts[1:] for _ in range(4)]))
+    assert set(got[1]) == set("bcdfgk") and got[0] == "b"
