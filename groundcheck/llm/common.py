@@ -1,31 +1,49 @@
-"""Helpers shared by the operators: tables, materialisation, connected components."""
+"""Helpers shared by the operators: tables, batches, materialisation, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows of a batch that are Python objects at one time.
+SLICE = 1000
+#: A key is hot when more than one row in this many has it, so there are fewer hot keys than this.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after bounding the rows of an Arrow batch in its session: Python workers then hold a few MB of text each.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    A bound that the session sets lower is left alone.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE) -> DataFrame:
+    """``df.mapInPandas(run, schema)``, but whatever the session's batches hold, few rows at a time become Python objects."""
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in run(piece.to_pandas() for piece in slices(batches, rows)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=shape, preserve_index=False)
+
+    return df.mapInArrow(arrow, schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -37,11 +55,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    temporary folder, and a cluster an error: its machines share none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
-        return at
+        return at.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         own = tempfile.mkdtemp(prefix="groundcheck-")
         atexit.register(shutil.rmtree, own, True)
@@ -49,20 +70,60 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(sc.getCheckpointDir())
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at files that outlive executors.
+_WRITTEN: list[str] = []
 
-    ``free`` also has the driver collect its garbage, so that the shuffle files behind ``df`` go before more are written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+def _drop(paths: list[str]) -> None:
+    for path in paths:
+        with contextlib.suppress(OSError, ValueError):  # gone already, or a file system that only Spark can reach
+            fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            fs.delete_dir(at)
+        with contextlib.suppress(ValueError):
+            _WRITTEN.remove(path)
+
+
+def drop_cuts() -> None:
+    """Delete every table of ``cut`` that this driver wrote and that is still there; at the driver's end at the latest."""
+    _drop(list(_WRITTEN))
+
+
+atexit.register(drop_cuts)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables of ``cut`` that are written inside are deleted at the end: what is kept must have been written by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        _drop([p for p in _WRITTEN if p not in before])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at files that outlive executors."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
+    _WRITTEN.append(path)
     df.write.parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: Column, total: int | Column, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, whose rows are unique by ``on`` and say in ``n`` how many rows of ``left`` have their key.
+
+    Keys with more than a ``HOT``-th of ``total`` rows, of which there are fewer than ``HOT``, are broadcast, so their
+    rows stay where they are; the others are shuffled. ``left`` is read twice, so it should be a written table.
+    """
+    key = [F.col(f"_k{i}") for i in range(len(on))]
+    named = lambda d: d.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *[c for c in d.columns if c not in on])
+    same = [left[c] == k for c, k in zip(on, key)]
+    hot = F.broadcast(named(right.where(n * HOT > total)))
+    cold = named(right.where(n * HOT <= total))
+    drop = [f"_k{i}" for i in range(len(on))]
+    among = left.join(hot, same, "inner").drop(*drop)
+    rest = left.join(hot, same, "left_anti").join(cold, same, how).drop(*drop)
+    return among.unionByName(rest)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

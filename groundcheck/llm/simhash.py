@@ -8,10 +8,14 @@ mask of the bits whose vector has odd product with v. Two parts that differ in a
 since 6 vectors cannot span 7 dimensions; two fingerprints within 13 bits have a part within 6. So every pair within
 the radius meets in one of 254 tables: candidate search loses nothing, and pairs beyond the radius are never reported.
 
+A document is a row's (doc_id, text): rows that share a doc_id but not a text are documents of their own, and rows that
+repeat both are one document. Of a group (a connected component of near copies) the document with the least (doc_id,
+hash of text) stays, so every text that goes has a copy that stays, whatever ids the table repeats.
+
 Defined cases: rows with a null doc_id, and null, empty or wordless texts, have no fingerprint and are no one's copy;
-rows that share a doc_id are one document; equal fingerprints are copies at distance 0; of a group (a connected
-component) the least doc_id stays; an empty table gives an empty table; further columns are left out by ``near_copies``
-and kept by ``keep_one``.
+equal fingerprints are copies at distance 0; an empty table gives an empty table; further columns are left out by
+``near_copies`` and kept by ``keep_one``. ``doc_id`` and ``kept_id`` can be equal, where a table gives one id to texts
+that are near copies.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, lean
+from .common import components, cut, fresh, join_hot, map_slices
 
 PART, INNER = 48, 6
 RADIUS = 2 * INNER + 1
 WORD = re.compile(r"\w+")
-RUN = 8
+SEEDS, CELLS = 64, 1 << 20
+#: Fingerprints of one bucket that a task compares; larger buckets are cut into slots, and each pair of slots is a task.
+LOAD = 1 << 20
 
 
 def _masks() -> list[int]:
@@ -61,51 +67,64 @@ def fingerprint(text: str | None) -> tuple[int, int] | None:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b) of every document that has words."""
+    """(doc_id, h, a, b) of every row that has an id and words; h is a hash of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(d, f) for d, t in zip(pdf["doc_id"], pdf["text"]) if (f := fingerprint(t))]
-            yield pd.DataFrame({"doc_id": [d for d, _ in got], "a": [f[0] for _, f in got], "b": [f[1] for _, f in got]}, dtype="int64")
-
-    return (
-        lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-        .where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, "doc_id bigint, a bigint, b bigint")
-    )
+            got = [(d, h, *f) for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]) if (f := fingerprint(t))]
+            yield pd.DataFrame(got, columns=["doc_id", "h", "a", "b"], dtype="int64")
+
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
+    return map_slices(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), run, "doc_id bigint, h bigint, a bigint, b bigint")
+
+
+def _near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of ``i`` (rows) are within the radius of which of ``j`` (columns)."""
+    return np.bitwise_count(a[i][:, None] ^ a[j]).astype(np.uint8) + np.bitwise_count(b[i][:, None] ^ b[j]) <= RADIUS
+
+
+def _grow(a: np.ndarray, b: np.ndarray, free: np.ndarray, found: list[np.ndarray]) -> None:
+    """Edges that connect what is connected in one bucket: whole blocks are compared, and each edge takes a member out."""
+    while len(free) > 1:
+        seeds = free[:SEEDS]
+        hit = _near(a, b, seeds, free)
+        hit[np.arange(len(seeds)), np.arange(len(seeds))] = False
+        some = np.flatnonzero(hit.any(axis=1))
+        stay = np.ones(len(free), bool)
+        stay[: len(seeds)] = False  # seeds near to no one are done
+        stay[some] = True
+        if not len(some):
+            free = free[stay]
+            continue
+        stay[some[0]] = False
+        frontier, free = free[some[:1]], free[stay]
+        while len(frontier) and len(free):
+            step = max(1, CELLS // len(free))
+            head, frontier = frontier[:step], frontier[step:]
+            hit = _near(a, b, head, free)
+            got = hit.any(axis=0)
+            if got.any():
+                new = free[got]
+                found.append(np.stack([head[hit[:, got].argmax(axis=0)], new]))
+                frontier, free = np.concatenate([frontier, new]), free[~got]
 
 
 def _bucket_edges(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edges (positions i, j) that connect what is within the radius in each bucket, and no bucket of an earlier table has."""
     masks = np.array(MASKS * 2, np.int64)
     key = (t.astype(np.int64) << PART) | (np.where(t < len(MASKS), a, b) & masks[t])
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     key = key[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(key)])
-    near = lambda i, j: np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= RADIUS
-    found = []
-    small = (size > 1) & (size <= RUN)
-    left = np.concatenate([np.arange(s, s + n) for s, n in zip(start[small], size[small])]) if small.any() else np.zeros(0, np.int64)
-    stop = np.repeat(start[small] + size[small], size[small])
-    for step in range(1, RUN):
-        live = left + step < stop
-        left, stop = left[live], stop[live]
-        i, j = order[left], order[left + step]
-        ok = near(i, j)
-        found.append(np.stack([i[ok], j[ok]]))
-    for s, n in zip(start[size > RUN], size[size > RUN]):
-        free = order[s : s + n]
-        while len(free) > 1:  # grow one component; each edge takes a member out of the rest
-            frontier, free = [free[0]], free[1:]
-            while frontier and len(free):
-                x = frontier.pop()
-                ok = near(np.int64(x), free)
-                got = free[ok]
-                if len(got):
-                    found.append(np.stack([np.full(len(got), x), got]))
-                    frontier.extend(got)
-                    free = free[~ok]
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    two = start[size == 2]
+    i, j = order[two], order[two + 1]
+    ok = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= RADIUS
+    found.append(np.stack([i[ok], j[ok]]))
+    for s, n in zip(start[size > 2], size[size > 2]):
+        _grow(a, b, order[s : s + n], found)
+    pairs = np.concatenate(found, axis=1)
     i, j = pairs
     da, db, at = a[i] ^ a[j], b[i] ^ b[j], t[i]
     first = np.ones(len(i), bool)
@@ -116,35 +135,89 @@ def _bucket_edges(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    t, a, b = (table[c].to_numpy() for c in ("t", "a", "b"))
-    i, j = _bucket_edges(t, a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[i], b[i], a[j], b[j])], ["a1", "b1", "a2", "b2"])
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_id) of every document that goes: it is in the group of ``kept_id``, which stays."""
-    prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("a", "b").agg(F.min("doc_id").alias("node")))
+    """Rows (t, key, a, b), with or without a pair of slots, in order of their buckets, to edges: a task holds the buckets of
+    one batch and the last one before."""
+    rest = [np.zeros(0, np.int64)] * 5
+
+    def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
+        t, _, a, b, _ = cols
+        i, j = _bucket_edges(t, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[i], b[i], a[j], b[j])], ["a1", "b1", "a2", "b2"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        held.append(columns if len(columns) == 5 else [*columns, np.zeros(len(columns[0]), np.int64)])
+        if sum(len(h[0]) for h in held) < 1 << 18:
+            continue
+        cols = [np.concatenate([r, *[h[k] for h in held]]) for k, r in enumerate(rest)]
+        held = []
+        turn = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[4]) != 0))
+        end = int(turn[-1]) + 1 if len(turn) else 0
+        if end:
+            yield edges([c[:end] for c in cols])
+        rest = [c[end:] for c in cols]
+    cols = [np.concatenate([r, *[h[k] for h in held]]) for k, r in enumerate(rest)]
+    if len(cols[0]):
+        yield edges(cols)
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(t, key, a, b): every fingerprint in its bucket of every table."""
     mask = F.element_at(F.array(*[F.lit(m) for m in MASKS * 2]), F.col("t") + 1)
     part = F.when(F.col("t") < len(MASKS), F.col("a")).otherwise(F.col("b"))
-    edges = (
-        nodes.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(2 * len(MASKS) - 1))).alias("t"))
-        .repartition(F.col("t"), part.bitwiseAND(mask))
-        .mapInArrow(_edges, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
-    )
-    edges = cut(edges.distinct(), free=True)
+    rows = nodes.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(2 * len(MASKS) - 1))).alias("t"))
+    return rows.select("t", part.bitwiseAND(mask).alias("key"), "a", "b")
+
+
+def _placed(nodes: DataFrame, load: int) -> DataFrame:
+    """The buckets, sorted within partitions. Which ones are large is told by one fingerprint in ``load / 16``: that decides
+    how the work is spread, never what is compared, as any two slots of a bucket meet."""
+    rows = _keyed(nodes)
+    if nodes.count() <= load:  # no bucket can be larger
+        return rows.repartition("t", "key").sortWithinPartitions("t", "key")
+    every = max(1, load // 16)
+    some = nodes.where(F.pmod(F.xxhash64("b", "a"), F.lit(every)) == 0)
+    large = _keyed(some).groupBy("t", "key").agg((F.count("*") * every / load).alias("over")).where("over > 0.5")
+    rows = rows.join(large.select("t", "key", F.ceil("over").cast("int").alias("slots")), ["t", "key"], "left")
+    slots = F.coalesce("slots", F.lit(1))
+    own = F.pmod(F.xxhash64("a", "b"), slots).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), slots - 1), lambda x: F.least(x, own) * slots + F.greatest(x, own))
+    pairs = rows.select("t", "key", "a", "b", F.explode(meets).alias("pair"))
+    return pairs.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
+
+
+def groups(docs: DataFrame, load: int = LOAD) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (doc_id, h, a, b), and groups (a, b, kept_id, kept_h, group_size, n) of those fingerprints
+    whose group has more than one document; n is the number of rows that have the fingerprint."""
+    prints = cut(fingerprints(docs))
+    nodes = prints.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("least"), F.max(F.struct("doc_id", "h")).alias("most"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))  # one for each fingerprint, fixed by being written
+    edges = _placed(nodes, load).mapInArrow(_edges, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
+    edges = cut(edges.distinct())
     side = lambda n: nodes.select(F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"), F.col("node").alias(f"n{n}"))
     roots = components(edges.join(side(1), ["a1", "b1"]).join(side(2), ["a2", "b2"]), "n1", "n2")
-    of = nodes.join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("kept_id"))
-    return prints.join(of, ["a", "b"]).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).where("doc_id <> kept_id")
+    of = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = of.groupBy("root").agg(F.min("least").alias("kept"), F.max("most").alias("last"), F.sum("n").alias("group_size")).where("kept <> last")
+    found = of.select("root", "a", "b", "n").join(whole, "root")
+    return prints, cut(found.select("a", "b", F.col("kept.doc_id").alias("kept_id"), F.col("kept.h").alias("kept_h"), "group_size", "n"))
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    prints, found = groups(docs)
+    rows = join_hot(prints, found, ["a", "b"], F.col("n"), prints.count())
+    return rows.where("doc_id <> kept_id OR h <> kept_h").select("doc_id", "h", "kept_id", "kept_h", "group_size").distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, kept_id, text_hash, kept_hash, group_size) of every document that goes: it is in the group of the document
+    (kept_id, kept_hash), which stays. Hashes of texts are in hexadecimal; the size counts rows, repeated ones included."""
+    shown = lambda h: F.lpad(F.hex(h), 16, "0")
+    return _gone(docs).select("doc_id", "kept_id", shown(F.col("h")).alias("text_hash"), shown(F.col("kept_h")).alias("kept_hash"), F.col("group_size").cast("decimal(20,0)").alias("group_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are near copies of one that stays."""
-    key = fresh(docs, "_gone")
-    gone = cut(near_copies(docs)).select(F.col("doc_id").alias(key))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left_anti")
+    d, h = fresh(docs, "_gone"), fresh(docs, "_hash")
+    gone = cut(_gone(docs)).select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    return docs.join(gone, (docs["doc_id"].cast("bigint") == gone[d]) & (F.xxhash64(docs["text"]) == gone[h]), "left_anti")

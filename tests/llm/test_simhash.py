@@ -82,8 +82,8 @@ def test_edited_copies_are_found_and_others_left(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    gone = sorted(tuple(r) for r in simhash.near_copies(odd).collect())
-    assert gone == [(7, 6), (8, 1)]
+    gone = sorted((r["doc_id"], r["kept_id"], int(r["group_size"])) for r in simhash.near_copies(odd).collect())
+    assert gone == [(7, 6, 2), (8, 1, 3)]
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "1", "2", "3", "4", "5", "6", "9", "None", "None"])
@@ -101,3 +101,51 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 7), (5, 5), (3, 140)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "x bigint, y bigint"), "x", "y").collect()}
     assert got == {**{i: 3 for i in range(100, 141)}, 9: 7}
+
+
+def test_no_text_goes_without_a_copy_that_stays(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    x, y, z = (" ".join(word() for _ in range(120)) for _ in range(3))
+    rows = [(1, x), (2, x), (2, y), (3, y), (4, z), (4, x), (4, z)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, x), (2, y), (4, z), (4, z)])
+    gone = {(r["doc_id"], r["text_hash"]): (r["kept_id"], r["kept_hash"], int(r["group_size"])) for r in simhash.near_copies(docs).collect()}
+    h = {t: simhash_hash(spark, t) for t in (x, y)}
+    assert gone == {(2, h[x]): (1, h[x], 3), (4, h[x]): (1, h[x], 3), (3, h[y]): (2, h[y], 2)}
+
+
+def simhash_hash(spark, text: str) -> str:
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([(text,)], "t string").select(F.lpad(F.hex(F.xxhash64("t")), 16, "0")).first()[0]
+
+
+def test_clashing_ids_against_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    bases = [[word() for _ in range(100)] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        base = list(rng.choice(bases))
+        for _ in range(rng.randrange(0, 4)):
+            base[rng.randrange(100)] = word()
+        rows.append((rng.randrange(40), " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = {t: simhash.fingerprint(t) for _, t in rows}
+    texts = sorted(prints)
+    root = groups({i: prints[t] for i, t in enumerate(texts)})
+    member = {t: root[i] for i, t in enumerate(texts)}
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(member[t] for t in {t for _, t in kept}) == sorted(set(root.values()))
+    for d, t in kept:
+        assert d == min(i for i, u in rows if member[u] == member[t])
+    size = {g: sum(member[t] == g for _, t in rows) for g in set(root.values())}
+    for r in simhash.near_copies(docs).collect():
+        assert int(r["group_size"]) in {size[member[t]] for d, t in rows if d == r["doc_id"]}
+
+
+def test_slots_and_batches_do_not_matter(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = lambda load: {(r["a"], r["b"], r["kept_id"]) for r in simhash.groups(docs, load)[1].collect()}
+    assert rows(simhash.LOAD) == rows(24)
