@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import map_slices
 
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 3: (11025, 12000, 8000)}  # 3 stands for 2.5
 KBPS = {
@@ -259,7 +259,7 @@ def parsed(clips: DataFrame, key: str = "doc_id", audio: str = "audio") -> DataF
             got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield got
 
-    return lean(clips).select(clips[key].cast("bigint").alias("doc_id"), clips[audio].alias("audio")).mapInPandas(run, SCHEMA)
+    return map_slices(clips.select(clips[key].cast("bigint").alias("doc_id"), clips[audio].alias("audio")), run, SCHEMA)
 
 
 def from_texts(docs: DataFrame) -> DataFrame:

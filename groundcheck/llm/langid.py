@@ -1,17 +1,23 @@
 """Language identification of texts that may mix languages.
 
 A language is a distribution over hashed letter trigrams. For each document, expectation-maximisation estimates what
-share of its trigrams comes from each language, and the set of languages is chosen by penalised likelihood (BIC) alone:
-languages are added one at a time, the best of all that are left, while the gain in log-likelihood pays for them. A uniform background component "und"
-stands for text of no known language, for which fewer than ``LEAST_UNKNOWN`` trigrams are no evidence; a document is
-rejected where "und" is its primary language.
+share of its trigrams comes from each language, and the set of languages is the one of greatest penalised likelihood
+(BIC): from the best single language on, one is added, dropped or exchanged as long as that gains more than it costs. All
+languages are candidates at every step, and no length or share is treated apart. A uniform component "und" stands for text
+of no known language; it costs ``2 ln(1 / UNKNOWN)`` on top, its odds before anything is read. A document is rejected where
+"und" is its primary language.
+
+Each language is smoothed with ``POOLED`` of the mean of all languages and ``FLAT`` of the uniform distribution: what is
+unseen in one language and seen in another is weak evidence for the other, so shares well under ``POOLED`` are not told
+from words that the fitted rows lack.
 
 The trigram tables are fitted on a bounded sample of labelled rows, ``ROWS_PER_LANGUAGE`` of each language (those with
 the least hash of doc_id and text); every text is then scored in full.
 
 Defined cases: null, empty and letterless texts get no language, primary "und", and are rejected; where no row is
-labelled every document is rejected; of languages with equal likelihood the first by name is primary; rows with a null
-doc_id are scored like others; repeated rows give repeated rows; an empty table gives an empty table.
+labelled there is nothing to tell languages apart by, so no text has a language and ``accepted`` keeps every row; of
+languages with equal likelihood the first by name is primary; rows with a null doc_id are scored like others; repeated
+rows give repeated rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import lean
+from .common import map_slices
 
 ROWS_PER_LANGUAGE = 400
 BUCKETS = 1 << 16
-LEAST_UNKNOWN = 20
+POOLED, FLAT, UNKNOWN = 0.02, 0.02, 0.01
 OVERLAP = 3  # each letter is in three trigrams, so their evidence is counted a third
 SCHEMA = "doc_id bigint, lang string, languages array<string>, shares array<double>, n_grams bigint, score double, accepted boolean"
 _LETTER: list[np.ndarray] = []
@@ -57,7 +64,8 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        smooth = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
+        own = (counts + 1e-9) / (counts + 1e-9).sum(axis=1, keepdims=True)
+        smooth = (1 - POOLED - FLAT) * own + POOLED * own.mean(axis=0) + FLAT / BUCKETS if len(own) else own
         self.table = np.concatenate([smooth, np.full((1, BUCKETS), 1 / BUCKETS)]).T.astype(np.float32).copy()
 
     @staticmethod
@@ -73,30 +81,36 @@ class Model:
                 break
         return share, float(np.log(p @ share).sum(dtype=np.float64))
 
+    @staticmethod
+    def choose(p: np.ndarray) -> tuple[list[int], np.ndarray, float]:
+        """The columns of ``p`` of greatest penalised likelihood, the last one the unknown; their shares, the log-likelihood."""
+        n, last = len(p), p.shape[1] - 1
+        each = OVERLAP * np.log(n + 1.0)
+        price = lambda held: each * len(held) + 2 * np.log(1 / UNKNOWN) * (last in held)
+        alone = 2 * np.log(p).sum(axis=0, dtype=np.float64)
+        alone[last] -= price([last]) - each
+        chosen = [int(alone.argmax())]
+        share, best = np.ones(1, np.float32), float(np.log(p[:, chosen[0]]).sum(dtype=np.float64))
+        while True:
+            pull = (1 / (p[:, chosen] @ share.astype(np.float32))) @ p / n
+            most = 2 * n * (np.maximum(pull, pull[chosen].max()) - 1)  # the likelihood is concave, so no gain is greater
+            others = [int(o) for o in range(last + 1) if o not in chosen]
+            tries = [[*chosen, o] for o in others if most[o] > price([*chosen, o]) - price(chosen)]
+            if len(chosen) > 1:
+                tries += [[c for c in chosen if c != out] for out in chosen]
+                tries += [[*[c for c in chosen if c != out], o] for out in chosen for o in others]
+            after = max(((2 * ll - price(t), [-i for i in t], s, ll) for t in tries for s, ll in [Model.mixture(p[:, t], 200, 1e-4)]), key=lambda x: x[:2], default=None)
+            if after is None or after[0] <= 2 * best - price(chosen) + 1e-6:
+                return chosen, share, best
+            chosen, share, best = [-i for i in after[1]], after[2], after[3]
+
     def identify(self, text: str | None) -> tuple[str, list[str], list[float], int, float, bool]:
         """(primary, languages, shares, trigrams, mean log-likelihood, accepted); shares of the chosen set sum to 1."""
         at = grams(text)
         if not len(at) or not self.languages:
             return "und", [], [], len(at), 0.0, False
-        p = self.table[at] if len(at) >= LEAST_UNKNOWN else self.table[at, :-1]
-        price = OVERLAP * np.log(len(at) + 1.0)
-        alone = np.log(p).sum(axis=0, dtype=np.float64)
-        chosen = [int(alone.argmax())]
-        share, best = np.ones(1), float(alone[chosen[0]])
-        while len(chosen) < p.shape[1]:
-            pull = (1 / (p[:, chosen] @ share.astype(np.float32))) @ p / len(p)
-            most = 2 * len(p) * (np.maximum(pull, pull[chosen].max()) - 1)  # the likelihood is concave, so no gain is greater
-            tries = []
-            for other in np.flatnonzero(most > price):
-                if other not in chosen:
-                    s, ll = self.mixture(p[:, [*chosen, other]], 200, 1e-4)
-                    tries.append((ll, -int(other), s))
-            if not tries:
-                break
-            ll, other, s = max(tries, key=lambda x: x[:2])
-            if 2 * (ll - best) <= price:
-                break
-            chosen, share, best = [*chosen, -other], s, ll
+        p = self.table[at]
+        chosen, share, best = self.choose(p)
         names = [*self.languages, "und"]
         order = sorted(range(len(chosen)), key=lambda i: (-share[i], names[chosen[i]]))
         known = [(names[chosen[i]], float(share[i])) for i in order]
@@ -133,7 +147,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     low = F.lit(False)
     for lang, h in most.items():
         low = low | ((F.col("lang") == lang) & (F.xxhash64("doc_id", "text") <= h))
-    found = sample.where(low).select("lang", "text").mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = map_slices(sample.where(low).select("lang", "text"), count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     for i, lang in enumerate(languages):
@@ -155,16 +169,19 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     name: [g[i] for g in got] for i, name in enumerate(("lang", "languages", "shares", "n_grams", "score", "accepted"))
                 }})
 
-    return lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
+    return map_slices(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), run, SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` without the documents that are rejected; in one pass, so no join by doc_id is needed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    model = model or train(docs)
+    if not model.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def fine(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def fine(text: pa.Array) -> pa.Array:
         held = shared.value
-        return pd.Series([held.identify(t)[5] for t in text], dtype=bool)
+        return pa.array((held.identify(t.as_py())[5] for t in text), pa.bool_())
 
-    return lean(docs).where(fine("text"))
+    return docs.where(fine(docs["text"]))

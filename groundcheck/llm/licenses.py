@@ -22,7 +22,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import lean
+from .common import map_slices
 
 MIN_RUN, COVER, GAP = 4, 0.75, 12
 TOKEN = re.compile(r"[^\W_]+")
@@ -216,4 +216,4 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
             out = pd.DataFrame(rows, columns=["doc_id", "license", "start_token", "end_token", "matched", "coverage"])
             yield out.astype({"doc_id": "Int64", "start_token": "int32", "end_token": "int32", "matched": "int32", "coverage": "float64"})
 
-    return lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
+    return map_slices(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), run, SCHEMA)

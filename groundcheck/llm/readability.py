@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import lean
+from .common import map_slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
@@ -193,4 +193,4 @@ def extracted(pages: DataFrame, key: str = "page_id", body: str = "html") -> Dat
                 "n_paragraphs": [g[2] for g in got], "score": [float(g[3]) for g in got], "container": [g[4] for g in got],
             })
 
-    return lean(pages).select(pages[key].alias("page_id"), pages[body].alias("html")).mapInPandas(run, SCHEMA)
+    return map_slices(pages.select(pages[key].alias("page_id"), pages[body].alias("html")), run, SCHEMA)

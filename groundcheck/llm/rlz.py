@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, fresh, lean
+from .common import cut, fresh, map_slices
 
 MIN_WORDS, GRAM = 50, 25
 _RNG = np.random.default_rng(2011)
@@ -165,20 +165,19 @@ def factors(docs: DataFrame) -> DataFrame:
     Spans of a document do not touch. ``factors`` counts the greedy factors of the span; the source is the longest's.
     """
     docs = (
-        lean(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
         .where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * MIN_WORDS - 1))
     )
     same = W.partitionBy("key")
     shared = (
-        docs.mapInPandas(_pick, "key bigint, doc_id bigint, pos int")
+        map_slices(docs, _pick, "key bigint, doc_id bigint, pos int")
         .select("doc_id", "pos", (F.min("doc_id").over(same) != F.max("doc_id").over(same)).alias("both"))
         .where("both").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
     )
     first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("meta").alias("m"))).over(W.partitionBy("key"))
     place = lambda m: m.bitwiseAND(0xFFFFFFFF).cast("int")
     found = (
-        docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared")
-        .mapInPandas(_index, "key bigint, doc_id bigint, meta bigint")
+        map_slices(docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared"), _index, "key bigint, doc_id bigint, meta bigint")
         .select("doc_id", "meta", first.alias("first"))
         .where("first.d <> doc_id AND shiftright(first.m, 32) = shiftright(meta, 32)")
         .select("doc_id", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), place(F.col("first.m")).alias("at"))
@@ -204,7 +203,7 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate spans taken out of the text (and n_chars set anew); documents left empty by that go."""
     key, held = fresh(docs, "_key"), fresh(docs, "_spans")
-    spans = cut(factors(docs), free=True).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
+    spans = cut(factors(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, spans: pd.Series) -> pd.Series:

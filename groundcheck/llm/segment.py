@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import slices
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
@@ -395,7 +395,7 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
                 names=["doc_id", "sample", "ids", "log_prob", "log_inclusion"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = chars = 0
             for i, text in enumerate(texts):
@@ -406,7 +406,7 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
             if at < len(texts):
                 yield block(keys[at:], texts[at:])
 
-    rows = lean(docs).select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.where("text IS NOT NULL").mapInArrow(run, SCHEMA)
 
 
@@ -423,7 +423,7 @@ def decoded(rows: DataFrame, model_path: str, ids: str = "ids", to: str = "text"
         raw = tables[0]
         return pd.Series([None if x is None else spelled(raw, x) for x in column], dtype=object)
 
-    return lean(rows).withColumn(to, spell(rows[ids]))
+    return rows.withColumn(to, spell(rows[ids]))
 
 
 def spelled(raw: list[bytes], ids: np.ndarray) -> str:
