@@ -6,6 +6,12 @@ that hold a shorter run only. For each place of each template, the runs of at le
 template, where that is shorter) that can be extended to neither side are chained in order; a chain that covers at least
 ``COVER`` of a template is a span.
 
+Templates are full texts, headers (under their SPDX identifier), notices in running text, and SPDX lines for every
+identifier. Templates of at most
+``NOTICE`` tokens, in which one token can be another version, must be covered whole, and one of fewer than ``MIN_RUN``
+tokens by a single run. ``GAP`` is the most tokens of the file
+that may stand between two runs of a chain (a name, a year, a comment sign).
+
 Defined cases: null and empty texts have no span; tokens are runs of letters and digits, in lower case, so punctuation
 and line breaks do not matter; of spans that overlap the one with most matched tokens stays, ties going to the
 greater coverage, then the earlier start, then the template's name; rows with a null doc_id are scanned like others;
@@ -15,6 +21,7 @@ repeated rows give repeated spans; further columns are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -24,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices
 
-MIN_RUN, COVER, GAP = 4, 0.75, 12
+MIN_RUN, COVER, GAP, NOTICE = 4, 0.75, 12, 12
 TOKEN = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id bigint, license string, start_token int, end_token int, matched int, coverage double"
 
@@ -70,6 +77,21 @@ TEMPLATES |= {
         for k, what in {"BY-SA": "ShareAlike", "BY-ND": "NoDerivatives", "BY-NC": "NonCommercial", "BY-NC-SA": "NonCommercial-ShareAlike", "BY-NC-ND": "NonCommercial-NoDerivatives"}.items()
     },
 }
+_NAMES = {
+    "MIT": ["MIT License"], "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"], "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"], "ISC": ["ISC License"], "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0"], "Unlicense": ["Unlicense License"],
+    "GPL-2.0": ["GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2"], "GPL-3.0": ["GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3"],
+    "LGPL-2.1": ["GNU Lesser General Public License v2.1"], "LGPL-3.0": ["GNU Lesser General Public License v3.0"], "AGPL-3.0": ["GNU Affero General Public License v3.0", "GNU AGPL v3"],
+    "EPL-2.0": ["Eclipse Public License 2.0"], "CC0-1.0": ["CC0 1.0 Universal"], "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0"],
+}
+TEMPLATES |= {
+    f"{k}-{article}{i}-notice": f"under {article} {name}" for k, names in _NAMES.items() for i, name in enumerate(names, 1) for article in ("the", "an" if name[0] in "AEIMU" else "a")
+}
+#: Lines that name a licence by its identifier, as source files carry them.
+_IDS = sorted({*_NAMES, *(file.stem for file in (Path(__file__).parent / "license_texts").glob("*.txt")), "EPL-2.0", "Python-2.0", "PostgreSQL", "MS-PL", "Artistic-2.0"})
+TEMPLATES |= {
+    f"{k}{end}-spdx": f"SPDX-License-Identifier: {k}{end}" for k in _IDS for end in (("", "-only", "-or-later") if "GPL" in k or k.startswith("GFDL") else ("",))
+}
 #: The full texts, of which the above are headers and notices.
 TEMPLATES |= {f"{file.stem}-text": file.read_text("utf-8") for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
@@ -170,14 +192,20 @@ class Scanner:
         for which, start, at, size in self.automaton.hits(tokens(text), self.least):
             if size >= MIN_RUN or which in self.whole and size == self.sizes[which]:
                 by.setdefault(which, []).append((start, at, size))
-        enough = [(which, hits) for which, hits in by.items() if sum(h[2] for h in hits) >= COVER * self.sizes[which]]
+        enough = [(which, hits) for which, hits in by.items() if sum(h[2] for h in hits) >= self._enough(which)]
         spans = [s for which, hits in enough for s in self._chains(which, sorted(hits))]
         spans.sort(key=lambda s: (-s[3], -s[4], s[1], s[0]))
-        taken: list[tuple[str, int, int, int, float]] = []
+        starts: list[int] = []
+        taken: list[tuple[str, int, int, int, float]] = []  # apart from each other and in order, so neighbours tell
         for s in spans:
-            if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
-                taken.append(s)
-        return sorted(taken, key=lambda s: s[1])
+            at = bisect_left(starts, s[1])
+            if (at == 0 or taken[at - 1][2] <= s[1]) and (at == len(taken) or taken[at][1] >= s[2]):
+                starts.insert(at, s[1])
+                taken.insert(at, s)
+        return taken
+
+    def _enough(self, which: int) -> float:
+        return self.sizes[which] * (1.0 if self.sizes[which] <= NOTICE else COVER)
 
     def _chains(self, which: int, hits: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
         """Best chains: hits in order in both text and template, at most GAP text tokens apart; overlaps count once."""
@@ -195,7 +223,7 @@ class Scanner:
             near.append(i)
         return [
             (self.names[which], start, x + n, got, round(min(1.0, got / self.sizes[which]), 6))
-            for (x, _, n), (got, start) in zip(hits, best) if got >= COVER * self.sizes[which]
+            for (x, _, n), (got, start) in zip(hits, best) if got >= self._enough(which)
         ]
 
 

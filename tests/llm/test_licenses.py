@@ -130,3 +130,66 @@ def test_full_texts_with_edits():
     for name in full:
         edited = " ".join("zzz" if i % 60 == 30 else w for i, w in enumerate(L.TEMPLATES[name].split()))
         assert [s[0] for s in scanner.scan(edited)] == [name]
+
+
+def test_identifiers_and_short_notices():
+    scanner = L.Scanner(L.TEMPLATES)
+    for text, name in {
+        "// SPDX-License-Identifier: MIT": "MIT-spdx", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later-spdx", "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-spdx",
+        "SPDX-License-Identifier: GPL-2.7": None, "Released under an MIT License": "MIT-an1-notice", "released under the MIT license": "MIT-notice",
+        "under the Mozilla Public License 2.0": "MPL-2.0-the1-notice", "Licensed under the Apache License, Version 7.0": None,
+    }.items():
+        assert [s[0] for s in scanner.scan(f"zzz\n{text}\nint zzz")] == ([] if name is None else [name]), text
+
+
+def test_chains_against_all_chains(monkeypatch):
+    monkeypatch.setattr(L, "MIN_RUN", 2)
+    rng = random.Random(3)
+    for _ in range(150):
+        x = [rng.choice("abcd") for _ in range(rng.randrange(14, 18))]
+        words = [w for i, w in enumerate(x) for w in ([w] if rng.random() > 0.12 else ["zz"] * rng.randrange(0, 3))]
+        scanner = L.Scanner({"x": " ".join(x)})
+        hits = sorted((s, t, n) for _, s, t, n in scanner.automaton.hits(words, 2))
+
+        def chains(last, got, start):
+            yield got, start, last
+            for h in hits:
+                lap = max(0, last[0] + last[2] - h[0], last[1] + last[2] - h[1])
+                if last[0] < h[0] and last[1] < h[1] and lap < h[2] and h[0] - last[0] - last[2] <= L.GAP:
+                    yield from chains(h, got + h[2] - lap, start)
+
+        every = [c for h in hits for c in chains(h, h[2], h[0])]
+        most = max((got for got, _, _ in every), default=0)
+        spans = scanner._chains(0, hits)
+        assert bool(spans) == (most >= L.COVER * len(x))
+        if spans:
+            assert max(s[3] for s in spans) == most
+
+
+def test_overlaps_against_comparing_all():
+    rng = random.Random(5)
+    scanner = L.Scanner({"a": "one two three four", "b": "three four five six seven", "c": "seven one two three"})
+    for _ in range(100):
+        words = [rng.choice("one two three four five six seven".split()) for _ in range(60)]
+        for _ in range(4):
+            at = rng.randrange(60)
+            words[at:at] = rng.choice(["one two three four five six seven", "three four five six seven one two three"]).split()
+        got = scanner.scan(" ".join(words))
+        spans = [(name, i, i + n, n, 1.0) for name, n in (("a", 4), ("b", 5), ("c", 4)) for i in range(len(words)) if words[i : i + n] == {"a": "one two three four", "b": "three four five six seven", "c": "seven one two three"}[name].split()]
+        taken = []
+        for s in sorted(spans, key=lambda s: (-s[3], -s[4], s[1], s[0])):
+            if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
+                taken.append(s)
+        assert got == sorted(taken, key=lambda s: s[1])
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    scanner = L.Scanner(L.TEMPLATES)
+    seconds = []
+    for n in (4000, 32_000):
+        began = time.process_time()
+        assert len(scanner.scan("Released under the MIT License. well " * n)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 14 * seconds[0] + 0.3
