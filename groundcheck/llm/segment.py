@@ -7,21 +7,27 @@ popped, its greatest member is drawn with exact lattice posteriors, and the sets
 get Gumbels truncated at the popped value. So ``samples`` distinct segmentations come out in order of perturbed value,
 as drawn without replacement, and the value next in line gives each its inclusion score (Kool et al., 2019).
 
-No piece joins a space to a character before it, or holds a line break, so a text is cut there into units whose lattices
-are independent, and equal units share one; arrays run over all units and documents of a block at once. Random numbers
-are hashes of the row key, the seed and the place, so results do not depend on partitioning.
+Where no piece joins a space to a character before it, or holds a line break, a text is cut there into units whose
+lattices are independent, and equal units share one; otherwise a text is one unit. Arrays run over all units and documents
+of a block at once, level by level, but for units of over ``LONG`` characters, which have few nodes a level and are gone
+through one node at a time. Random numbers are hashes of the row key, the seed and the place, so results do not depend on
+partitioning.
 
-A vocabulary with merge ranks for scores gets log-probabilities that fall with the rank (Zipf); one with log-probabilities
-keeps them. Characters outside the vocabulary become byte pieces.
+A vocabulary with merge ranks for scores (a BPE model, which has no probabilities) gets log-probabilities that fall with
+the rank (Zipf): this is a stand-in for a unigram model's, which are kept where a vocabulary has them. Characters outside
+the vocabulary become byte pieces. Texts are taken as they are, so a model whose normaliser changes texts is refused.
+Every sample is decoded again: ``exact`` says that its ids spell the text.
 
 Defined cases: null texts give no rows; an empty text gives one sample without pieces; a text with fewer segmentations
 than ``samples`` gives all of them, with inclusion score 0 (certain); a null key is a key like others; rows with equal
-keys and texts get equal samples; U+2581, which stands for the space, comes back as a space; further columns are left out.
+keys and texts get equal samples; U+2581, which stands for the space, comes back as a space, and ``exact`` counts it as one;
+further columns are left out by ``encoded`` and kept by ``decoded``, which replaces a column of the name it writes.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,8 +43,8 @@ from .common import slices
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
-SAMPLES, BLOCK_CHARS = 2, 1_500_000
-SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double"
+SAMPLES, BLOCK_CHARS, LONG = 2, 1_500_000, 512
+SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean"
 U = np.uint64
 
 
@@ -71,6 +77,10 @@ class Vocabulary:
         self.raw = [b""] * size
         self.byte = np.full(256, sp.unk_id(), np.int32)
         plain = []
+        probe = "\u2003 \uff21 e\u0301 \ufb01\t\n  "
+        if sp.normalize(probe).replace(SPACE, " ").strip(" ") != probe.strip(" "):
+            raise ValueError("the model's normaliser changes texts")
+        self.unit = UNIT
         for i, name in enumerate(names):
             if sp.is_byte(i):
                 self.byte[int(name[3:5], 16)] = i
@@ -79,7 +89,7 @@ class Vocabulary:
                 plain.append(i)
                 self.raw[i] = name.replace(SPACE, " ").encode()
                 if "\n" in name or SPACE in name.lstrip(SPACE):
-                    raise ValueError(f"piece {name!r} runs over the end of a unit")
+                    self.unit = re.compile(".+", re.S)  # a piece can run over any cut
         scores = np.array([sp.get_score(i) for i in plain], np.float64)
         if (scores == np.round(scores)).all():  # merge ranks
             scores = -np.log(np.arange(len(plain)) + 3.0)
@@ -138,7 +148,10 @@ class Lattice:
         n = len(codes)
         stop = np.repeat(np.cumsum(sizes), sizes)
         left = stop - np.arange(n)
-        order = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
+        long = np.repeat(sizes > LONG, sizes)  # their nodes come last, each unit's together
+        level = np.where(long, LONG + 1 + np.repeat(np.arange(len(units)), sizes), left)
+        order = np.lexsort((left, level)) if long.any() else np.argsort(left.astype(np.uint16), kind="stable")
+        self.thin = n - int(long.sum())
         rank = np.zeros(n + 1, np.int64)
         rank[order] = np.arange(n)
         self.end = n
@@ -190,7 +203,7 @@ class Lattice:
             score[slot] = value
         self.q, self.upto = np.empty(edges), np.empty(edges)
         beta = np.zeros(n + 1)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=1)[1:])]) if n else np.zeros(1, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(left[~long], minlength=1)[1:])]) if n else np.zeros(1, np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
             if a == b:
                 continue
@@ -205,14 +218,57 @@ class Lattice:
             self.q[lo:hi] = t
             run = np.cumsum(t)
             self.upto[lo:hi] = run - np.repeat(run[starts] - t[starts], each)
+        self._one_by_one(score, beta)
         self.upto[self.first[1:] - 1] = np.inf
         heads = np.cumsum(sizes) - sizes
         self.start = rank[heads] if len(units) else np.zeros(0, np.int64)
+        self.held: tuple | None = None
+
+    def _one_by_one(self, score: np.ndarray, beta: np.ndarray) -> None:
+        """Posteriors at the nodes of long units."""
+        base = int(self.first[self.thin])
+        if base == len(score):
+            return
+        scores, targets, firsts = score[base:].tolist(), self.target[base:].tolist(), (self.first[self.thin :] - base).tolist()
+        mine, q, upto = [0.0] * (self.end - self.thin), [], []
+        for k in range(len(firsts) - 1):
+            t = [scores[e] + (mine[targets[e] - self.thin] if targets[e] < self.end else 0.0) for e in range(firsts[k], firsts[k + 1])]
+            top = max(t)
+            t = [math.exp(x - top) for x in t]
+            total, run = sum(t), 0.0
+            mine[k] = top + math.log(total)
+            for x in t:
+                run += x / total
+                q.append(x / total)
+                upto.append(run)
+        self.q[base:], self.upto[base:], beta[self.thin : self.end] = q, upto, mine
+
+    def _steps(self, node: int, counter: np.uint64) -> list[int]:
+        """Edges of the path from a node of a long unit, one by one."""
+        out: list[int] = []
+        firsts, upto, target, thin = self._lists()
+        base, drawn = firsts[0], []
+        while node != self.end:
+            if not len(out) % 4096:
+                drawn = _uniform(counter + (np.arange(len(out), len(out) + 4096).astype(np.uint64)) * U(0xD1342543DE82EF95)).tolist()
+            u, e = drawn[len(out) % 4096], firsts[node - thin]
+            while upto[e - base] < u:
+                e += 1
+            out.append(e)
+            node = target[e - base]
+        return out
+
+    def _lists(self) -> tuple[list[int], list[float], list[int], int]:
+        if self.held is None:
+            base = int(self.first[self.thin])
+            self.held = self.first[self.thin :].tolist(), self.upto[base:].tolist(), self.target[base:].tolist(), self.thin
+        return self.held
 
     def walk(self, node: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One path from each node to its unit's end, drawn from the posteriors: edges in order, and their numbers."""
         counts = np.zeros(len(node), np.int64)
-        live = np.flatnonzero(node != self.end)
+        alone = {int(i): self._steps(int(node[i]), counter[i]) for i in np.flatnonzero((node != self.end) & (node >= self.thin))}
+        live = np.flatnonzero((node != self.end) & (node < self.thin))
         node, counter = node[live], counter[live]
         steps = []
         while len(live):
@@ -227,10 +283,14 @@ class Lattice:
             node = self.target[e]
             on = node != self.end
             live, node, counter = live[on], node[on], counter[on] + U(0xD1342543DE82EF95)
+        for i, edges in alone.items():
+            counts[i] = len(edges)
         offset = np.cumsum(counts) - counts
         path = np.empty(int(counts.sum()), np.int64)
         for k, (who, e) in enumerate(steps):
             path[offset[who] + k] = e
+        for i, edges in alone.items():
+            path[offset[i] : offset[i] + len(edges)] = edges
         return path, counts
 
     def source(self, edge: int) -> int:
@@ -274,7 +334,7 @@ def sample_block(vocabulary: Vocabulary, texts: list[str], keys: list[object], s
     units = np.zeros(len(texts) + 1, np.int64)
     for d, text in enumerate(texts):
         if text:
-            code += [known.setdefault(u, len(known)) for u in UNIT.findall((SPACE + text).replace(" ", SPACE))]
+            code += [known.setdefault(u, len(known)) for u in vocabulary.unit.findall((SPACE + text).replace(" ", SPACE))]
         units[d + 1] = len(code)
     lattice = Lattice(vocabulary, list(known))
     node = lattice.start[np.array(code, np.int64)]
@@ -383,7 +443,7 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
 
         def block(keys: list, texts: list) -> pa.RecordBatch:
             found = sample_block(vocabulary, texts, keys, samples, seed)
-            flat = [(k, s, *row) for k, rows in zip(keys, found) for s, row in enumerate(rows)]
+            flat = [(k, s, *row, spelled(vocabulary.raw, row[0]) == t.replace(SPACE, " ")) for k, t, rows in zip(keys, texts, found) for s, row in enumerate(rows)]
             cuts = np.concatenate([[0], np.cumsum([len(f[2]) for f in flat])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int32), *[f[2] for f in flat]]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
@@ -391,8 +451,9 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
                     pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(values)),
                     pa.array([f[3] for f in flat], pa.float64()), pa.array([f[4] for f in flat], pa.float64()),
+                    pa.array([f[5] for f in flat], pa.bool_()),
                 ],
-                names=["doc_id", "sample", "ids", "log_prob", "log_inclusion"],
+                names=["doc_id", "sample", "ids", "log_prob", "log_inclusion", "exact"],
             )
 
         for batch in slices(batches):
@@ -428,5 +489,6 @@ def decoded(rows: DataFrame, model_path: str, ids: str = "ids", to: str = "text"
 
 def spelled(raw: list[bytes], ids: np.ndarray) -> str:
     """Text of piece ids, without the space that encoding put first."""
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
     text = b"".join([raw[i] for i in ids if 0 <= i < len(raw)]).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
