@@ -10,12 +10,16 @@ reported.
 Two passes keep the index small without losing a factor. Winnowing picks one of any 26 successive 25-word windows by
 least hash, so that any repeated run of 50 words has a picked window in common; only 50-word windows whose picked window
 another document has picked too are indexed, each of them. Windows are matched by 64 bits of hash, and by 31 more against
-the first of their hash.
+the first of their hash. What more than ``LOAD`` picks have in common is aggregated before it is moved, so a passage that
+is everywhere meets in no one task.
+
+A document is a row's (doc_id, text): rows that share a doc_id but not a text are documents of their own, in the order of a
+hash of their text, and their spans carry that hash as ``text_key`` (0 for ids that have one text). Rows that repeat both
+are one document and get the same spans.
 
 Defined cases: words are runs of bytes over 32; rows with a null doc_id and null, empty or short texts have no factor;
-repeats within one document are not duplicates of another and stay; rows that share a doc_id are one document, so rows
-repeated in full get the same spans; an empty table gives an empty table; further columns are left out by ``factors`` and
-kept by ``without_repeats``.
+repeats within one document are not duplicates of another and stay; an empty table gives an empty table; further columns
+are left out by ``factors`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import cut, fresh, map_slices
 
 MIN_WORDS, GRAM = 50, 25
+#: Occurrences of one key that a task may hold, and ids with several texts that are broadcast.
+LOAD, CLASHES = 1 << 20, 100_000
 _RNG = np.random.default_rng(2011)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = [(0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -91,37 +97,40 @@ def least_grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, at, keys = [], [], []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+        size, at, keys = [], [], []
+        for text in pdf["text"]:
             raw = text.encode("utf-8", "surrogatepass")
             least, gram = least_grams(word_hashes(raw, *words(raw)))
             p = least[np.flatnonzero(np.diff(least, prepend=-1))]
-            ids.append(np.full(len(p), doc, np.int64)), at.append(p), keys.append(gram[p])
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pd.DataFrame({"key": join(keys, np.uint64).view(np.int64), "doc_id": join(ids, np.int64), "pos": join(at, np.int32)})
+            size.append(len(p)), at.append(p), keys.append(gram[p])
+        yield _rows(pdf, size, key=np.concatenate(keys).view(np.int64), pos=np.concatenate(at).astype(np.int32))
+
+
+def _rows(pdf: pd.DataFrame, size: list[int], **columns: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "k": np.repeat(pdf["k"].to_numpy(), size), **columns})
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every 50-word window whose picked 25-word window another document has picked too; meta is 31 bits of hash and the place."""
+    """Every 50-word window whose picked 25-word window is at a shared place; meta is 31 bits of hash and the place."""
     for pdf in batches:
-        ids, meta, keys = [], [], []
-        for doc, text, shared in zip(pdf["doc_id"], pdf["text"], pdf["shared"]):
+        size, meta, keys = [], [], []
+        for text, shared in zip(pdf["text"], pdf["shared"]):
             raw = text.encode("utf-8", "surrogatepass")
             hashes = word_hashes(raw, *words(raw))
             least, gram = least_grams(hashes)
             hit = np.zeros(len(gram), bool)
             hit[shared[shared < len(gram)]] = True
             where = np.flatnonzero(hit[least])
-            ids.append(np.full(len(where), doc, np.int64)), keys.append(windows(hashes, MIN_WORDS, _BASES[0][1])[where])
+            size.append(len(where)), keys.append(windows(hashes, MIN_WORDS, _BASES[0][1])[where])
             check = windows(hashes, MIN_WORDS, _BASES[1][1])[where] >> np.uint64(33)
             meta.append((check << np.uint64(32)) | where.astype(np.uint64))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pd.DataFrame({"key": join(keys, np.uint64).view(np.int64), "doc_id": join(ids, np.int64), "meta": join(meta, np.uint64).view(np.int64)})
+        yield _rows(pdf, size, key=np.concatenate(keys).view(np.int64), meta=np.concatenate(meta).view(np.int64))
 
 
-def _span(doc: int, pos: np.ndarray, src: np.ndarray, at: np.ndarray) -> tuple[int, ...]:
+def _span(own: tuple[int, int], pos: np.ndarray, src: np.ndarray, sk: np.ndarray, at: np.ndarray) -> tuple[int, ...]:
     """The span of one chain of overlapping windows, by greedy factors: at each boundary the run that reaches furthest."""
-    begin = np.flatnonzero(np.r_[True, (src[1:] != src[:-1]) | (np.diff(at) != np.diff(pos)) | (np.diff(pos) != 1)])
+    other = (src[1:] != src[:-1]) | (sk[1:] != sk[:-1]) | (np.diff(at) != np.diff(pos)) | (np.diff(pos) != 1)
+    begin = np.flatnonzero(np.r_[True, other])
     last = np.r_[begin[1:], len(pos)] - 1
     start, stop = pos[begin], pos[last] + MIN_WORDS
     count, here, run, most = 0, start[0], 0, (0, 0)
@@ -130,13 +139,17 @@ def _span(doc: int, pos: np.ndarray, src: np.ndarray, at: np.ndarray) -> tuple[i
         while run < len(begin) and start[run] <= here:
             reach, run = run, run + 1  # stops grow with starts, so the last that has begun reaches furthest
         count, most, here = count + 1, max(most, (stop[reach] - here, -reach)), stop[reach]
-    best = -most[1]
-    return doc, start[0], stop[-1], src[begin[best]], at[begin[best]], count
+    best = begin[-most[1]]
+    return *own, start[0], stop[-1], src[best], sk[best], at[best], count
+
+
+SPANS = "doc_id bigint, k bigint, start int, stop int, source_id bigint, sk bigint, source_start int, factors int"
+_SHAPE = pa.schema([(name, pa.int64() if kind == "bigint" else pa.int32()) for name, kind in (c.split() for c in SPANS.split(", "))])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, pos, src, at), sorted by doc_id and pos, to spans."""
-    rest = [np.zeros(0, np.int64)] * 4
+    """Rows (doc_id, k, pos, src, sk, at), sorted by doc_id, k and pos, to spans."""
+    rest = [np.zeros(0, np.int64)] * 6
     for batch in batches:
         cols = [np.r_[r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)] for i, r in enumerate(rest)]
         done, rest = _spans(cols, False)
@@ -149,42 +162,91 @@ def _spans(cols: list[np.ndarray], end: bool) -> tuple[pa.RecordBatch, list[np.n
     """Spans of all chains but the last, which may go on unless this is the end; the rows of that one."""
     out: list[tuple[int, ...]] = []
     if len(cols[0]):
-        again = np.r_[False, (np.diff(cols[0]) == 0) & (np.diff(cols[1]) == 0)]
-        doc, pos, src, at = cols = [x[~again] for x in cols]
-        cuts = np.r_[0, np.flatnonzero((np.diff(doc) != 0) | (np.diff(pos) > MIN_WORDS)) + 1, len(doc)]
-        out = [_span(doc[i], pos[i:j], src[i:j], at[i:j]) for i, j in zip(cuts[:-1], cuts[1:])][: None if end else -1]
+        doc, k, pos, src, sk, at = cols
+        moved = (np.diff(doc) != 0) | (np.diff(k) != 0)
+        again = np.r_[False, ~moved & (np.diff(pos) == 0)]
+        doc, k, pos, src, sk, at = cols = [x[~again] for x in cols]
+        moved = (np.diff(doc) != 0) | (np.diff(k) != 0)
+        cuts = np.r_[0, np.flatnonzero(moved | (np.diff(pos) > MIN_WORDS)) + 1, len(doc)]
+        out = [_span((doc[i], k[i]), pos[i:j], src[i:j], sk[i:j], at[i:j]) for i, j in zip(cuts[:-1], cuts[1:])][: None if end else -1]
         cols = [x[cuts[-2] :] for x in cols]
-    names = ["doc_id", "start", "stop", "source_id", "source_start", "factors"]
-    arrays = [pa.array([int(r[i]) for r in out], pa.int64() if i in (0, 3) else pa.int32()) for i in range(6)]
-    return pa.RecordBatch.from_arrays(arrays, names), cols
+    return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], f.type) for i, f in enumerate(_SHAPE)], schema=_SHAPE), cols
+
+
+def _keys(docs: DataFrame) -> tuple[Column, DataFrame | None]:
+    """What tells the texts of one id apart: a hash of the text for ids that have several texts, 0 for others. The ids are few
+    enough to be broadcast (the table to join is given), or every row has its hash; the order of documents is the same."""
+    h = F.xxhash64("text")
+    several = docs.select(F.col("doc_id").cast("bigint").alias("_several"), h.alias("h")).where("_several IS NOT NULL").groupBy("_several")
+    several = cut(several.agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("_several"))
+    n = several.limit(CLASHES + 1).count()
+    if not n:
+        return F.lit(0).cast("bigint"), None
+    if n > CLASHES:
+        return h, None
+    return F.when(F.col("_several").isNotNull(), h).otherwise(F.lit(0).cast("bigint")), F.broadcast(several)
+
+
+def _keyed(docs: DataFrame, keys: tuple[Column, DataFrame | None]) -> DataFrame:
+    """(doc_id, k, text) of the rows that have a document."""
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = rows if keys[1] is None else rows.join(keys[1], rows["doc_id"] == keys[1]["_several"], "left")
+    return rows.select("doc_id", keys[0].alias("k"), "text")
 
 
-def factors(docs: DataFrame) -> DataFrame:
-    """Duplicate spans (doc_id, start, stop, source_id, source_start, factors), in words.
+def _hot(picks: DataFrame, load: int) -> DataFrame | None:
+    """Keys that about ``load`` picks or more have, as one pick in ``load / 16`` tells; that decides how rows are moved, never
+    which windows are found."""
+    if picks.count() <= load:
+        return None
+    every = max(1, load // 16)
+    some = picks.where(F.pmod(F.xxhash64("pos", "k", "doc_id"), F.lit(every)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    hot = cut(some.where(F.col("n") * every > load / 2).select("key"))
+    return hot if hot.limit(1).count() else None
+
+
+def factors(docs: DataFrame, load: int = LOAD) -> DataFrame:
+    """Duplicate spans (doc_id, start, stop, source_id, source_start, factors, text_key, source_key), in words.
 
     Spans of a document do not touch. ``factors`` counts the greedy factors of the span; the source is the longest's.
     """
-    docs = (
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-        .where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * MIN_WORDS - 1))
-    )
+    return _shown(_factors(_keyed(docs, _keys(docs)), load))
+
+
+def _shown(spans: DataFrame) -> DataFrame:
+    text = lambda c: F.lpad(F.hex(c), 16, "0")
+    return spans.select("doc_id", "start", "stop", "source_id", "source_start", "factors", text("k").alias("text_key"), text("sk").alias("source_key"))
+
+
+def _factors(rows: DataFrame, load: int) -> DataFrame:
+    rows = rows.where(F.octet_length("text") >= 2 * MIN_WORDS - 1)
+    picks = cut(map_slices(rows, _pick, "doc_id bigint, k bigint, key bigint, pos int"))
+    hot = _hot(picks, load)
+    own = F.struct("doc_id", "k")
     same = W.partitionBy("key")
-    shared = (
-        map_slices(docs, _pick, "key bigint, doc_id bigint, pos int")
-        .select("doc_id", "pos", (F.min("doc_id").over(same) != F.max("doc_id").over(same)).alias("both"))
-        .where("both").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
-    )
-    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("meta").alias("m"))).over(W.partitionBy("key"))
+    if hot is None:
+        found = _first(rows, picks.select("doc_id", "k", "pos", (F.min(own).over(same) != F.max(own).over(same)).alias("both")).where("both"), False)
+    else:
+        rare = picks.join(hot, "key", "left_anti").select("doc_id", "k", "pos", (F.min(own).over(same) != F.max(own).over(same)).alias("both"))
+        often = picks.join(hot, "key", "left_semi")
+        shared = often.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
+        found = _first(rows, rare.where("both"), False).union(_first(rows, often.join(shared, "key", "left_semi"), True))
+    return found.repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "pos").mapInArrow(_parse, SPANS)
+
+
+def _first(rows: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:
+    """(doc_id, k, pos, src, sk, at) of the windows over shared places whose first occurrence is in another document."""
+    places = shared.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("shared"))
+    held = map_slices(rows.join(places, ["doc_id", "k"]).select("doc_id", "k", "text", "shared"), _index, "doc_id bigint, k bigint, key bigint, meta bigint")
+    least = F.min(F.struct(F.col("doc_id").alias("d"), F.col("k").alias("k"), F.col("meta").alias("m")))
+    if hot:
+        held = cut(held)
+        found = held.join(held.groupBy("key").agg(least.alias("first")), "key")
+    else:
+        found = held.withColumn("first", least.over(W.partitionBy("key")))
     place = lambda m: m.bitwiseAND(0xFFFFFFFF).cast("int")
-    found = (
-        map_slices(docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared"), _index, "key bigint, doc_id bigint, meta bigint")
-        .select("doc_id", "meta", first.alias("first"))
-        .where("first.d <> doc_id AND shiftright(first.m, 32) = shiftright(meta, 32)")
-        .select("doc_id", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), place(F.col("first.m")).alias("at"))
-    )
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(
-        _parse, "doc_id bigint, start int, stop int, source_id bigint, source_start int, factors int"
-    )
+    found = found.select("doc_id", "k", "meta", "first").where("(first.d <> doc_id OR first.k <> k) AND shiftright(first.m, 32) = shiftright(meta, 32)")
+    return found.select("doc_id", "k", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), F.col("first.k").alias("sk"), place(F.col("first.m")).alias("at"))
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -200,17 +262,20 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(keep).decode("utf-8", "surrogatepass").strip() if spans else text
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, load: int = LOAD) -> DataFrame:
     """``docs`` with the duplicate spans taken out of the text (and n_chars set anew); documents left empty by that go."""
-    key, held = fresh(docs, "_key"), fresh(docs, "_spans")
-    spans = cut(factors(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
-
-    @F.pandas_udf("string")
-    def clean(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_out(t, [(s["start"], s["stop"]) for s in x]) if x is not None and len(x) else t for t, x in zip(text, spans)], dtype=object)
-
-    out = docs.join(spans.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == spans[key], "left")
-    out = out.withColumn("text", clean("text", held)).where(F.col(held).isNull() | (F.length("text") > 0))
+    d, k, held = fresh(docs, "_doc"), fresh(docs, "_k"), fresh(docs, "_spans")
+    keys = _keys(docs)
+    spans = cut(_factors(_keyed(docs, keys), load)).groupBy(F.col("doc_id").alias(d), F.col("k").alias(k)).agg(F.collect_list(F.struct("start", "stop")).alias(held))
+
+    @F.arrow_udf("string")
+    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = ((t.as_py(), s.as_py()) for t, s in zip(text, spans))
+        return pa.array((cut_out(t, [(s["start"], s["stop"]) for s in x]) if x else t for t, x in out), pa.string())
+
+    same = (docs["doc_id"].cast("bigint") == spans[d]) & ((spans[k] == 0) | (spans[k] == F.xxhash64(docs["text"])))
+    out = docs.join(spans, same, "left")
+    out = out.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(clean(F.col("text"), F.col(held)))).where(F.col(held).isNull() | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(*docs.columns)

@@ -94,6 +94,49 @@ def test_words_and_window_hashes(words, gap):
     assert len(w) == len(runs) and len(set(zip(w.tolist(), runs))) == len(set(runs)) == len(set(w.tolist()))
 
 
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    x, clean = " ".join(f"x{i}" for i in range(80)), " ".join(f"clean{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, x), (2, x), (2, clean), (2, clean)], "doc_id bigint, text string")
+    assert sorted(map(tuple, rlz.without_repeats(docs).collect())) == sorted([(1, x), (2, clean), (2, clean)])
+    rows = rlz.factors(docs).collect()
+    assert [(r["doc_id"], r["start"], r["stop"], r["source_id"], r["source_key"]) for r in rows] == [(2, 0, 80, 1, "0" * 16)] and int(rows[0]["text_key"], 16)
+    both = spark.createDataFrame([(5, x), (5, x + " end"), (5, clean)], "doc_id bigint, text string")
+    left = sorted(r["text"] for r in rlz.without_repeats(both).collect())
+    assert left in ([clean, "end", x], sorted([clean, x + " end"]))
+
+
+def test_clashing_ids_against_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(3000)}"
+    passages = [[word() for _ in range(rng.randrange(50, 70))] for _ in range(4)]
+    rows = []
+    for _ in range(80):
+        words = [word() for _ in range(rng.randrange(0, 100))]
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = p
+        rows.append((rng.randrange(30), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = [(r["doc_id"], r["h"], r["text"]) for r in docs.select("doc_id", F.xxhash64("text").alias("h"), "text").distinct().collect()]
+    want = brute({(d, h): t for d, h, t in order})
+    kept = {(d, h): " ".join(w for i, w in enumerate(t.split()) if i not in want.get((d, h), ())) for d, h, t in order}
+    for load, clashes in ((rlz.LOAD, rlz.CLASHES), (64, 0)):
+        monkeypatch.setattr(rlz, "CLASHES", clashes)
+        got = sorted((r["doc_id"], " ".join(r["text"].split())) for r in rlz.without_repeats(docs.distinct(), load).collect())
+        assert got == sorted((d, kept[d, h]) for d, h, _ in order if kept[d, h] or (d, h) not in want)
+
+
+def test_hot_passages_give_the_same_spans(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    hot = " ".join(f"hot{i}" for i in range(70))
+    more = spark.createDataFrame([(10_000 + i, f"own{i} {hot} tail{i}", "en", "s", 1) for i in range(150)], docs.schema)
+    docs = docs.union(more)
+    rows = lambda load: sorted(map(tuple, rlz.factors(docs, load).collect()))
+    assert rows(rlz.LOAD) == rows(256) and len(rows(256)) > 149
+
+
 def test_batches_do_not_matter():
     import pyarrow as pa
 
@@ -105,10 +148,10 @@ def test_batches_do_not_matter():
             pos += int(rng.integers(1, 120))
             src, at = int(rng.integers(0, 5)), int(rng.integers(0, 1000))
             for _ in range(rng.integers(1, 80)):
-                rows.append((doc + 10, pos, src, at))
+                rows.append((doc // 2 + 10, doc % 2, pos, src, 0, at))
                 pos, at = pos + 1, at + 1
-    whole = [np.array([r[i] for r in rows], np.int64) for i in range(4)]
+    whole = [np.array([r[i] for r in rows], np.int64) for i in range(6)]
     read = lambda n: pa.Table.from_batches(
-        list(rlz._parse(pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], list("abcd")) for i in range(0, len(rows), n)))
+        list(rlz._parse(pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], list("abcdef")) for i in range(0, len(rows), n)))
     ).to_pylist()
     assert read(len(rows)) == read(7) == read(1)
