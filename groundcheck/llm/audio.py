@@ -1,10 +1,12 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
 ``parse`` walks a byte string frame by frame. A header is taken where a compatible header, the end or a trailing tag
-follows its frame; otherwise the reader looks for the next one (a resynchronisation). MPEG 1, 2 and 2.5, layers I to
-III; free-format frames are not frames. CRC-16 is checked where the protected bits have a fixed length, in layers I and
-III. The duration is samples over sample rate; encoder delay and padding that a variable-bitrate table states are
-taken off.
+follows its frame; otherwise the reader looks for the next one (a resynchronisation). A stream can go over to another
+version, layer or sample rate, where two frames in a row agree on it. MPEG 1, 2 and 2.5, layers I to III; free-format
+frames are not frames. CRC-16 is checked where the length of the protected bits is known from the header, in layers I and
+III. The duration is the sum of samples over the sample rate that they were sent at; encoder delay and padding that a
+Xing or Info table states are taken off (a VBRI table's delay is not, players differ on it). ``sample_rate`` is the
+first frame's.
 
 Defined cases: null bytes give a row of nulls; empty bytes and bytes without a frame give zero frames, duration 0 and
 no offsets; a frame that the data cut short is not a frame; broken tags are skipped as junk; rows with a null doc_id are
@@ -172,13 +174,14 @@ def parse(data: bytes | None) -> dict:
             return None
         return _HEADERS.get(data[i + 1] << 10 | data[i + 2] << 2 | data[i + 3] >> 6)
 
-    family, lost, trim, first, offsets, samples = None, at, 0, True, out["offsets"], 0
+    family, lost, trim, first, offsets = None, at, 0, True, out["offsets"]
+    samples: dict[int, int] = {}
     while at < end:
         h = header(at)
-        ok = h is not None and at + h[4] <= end and (family is None or h[8] == family)
-        if ok and (family is None or lost != at):  # not yet in step: the frame after it must agree
+        ok = h is not None and at + h[4] <= end
+        if ok and (family is None or lost != at or h[8] != family):  # not in step: the frame after it must agree
             after = header(at + h[4])
-            ok = at + h[4] == end or after is not None and after[8] == h[8]
+            ok = after is not None and after[8] == h[8] or at + h[4] == end and family in (None, h[8])
         if not ok:
             at = data.find(b"\xff", at + 1, end)
             if at < 0:
@@ -188,6 +191,8 @@ def parse(data: bytes | None) -> dict:
             out["resyncs"] += bool(offsets) or family is not None
             out["skipped_bytes"] += at - lost
         version, layer, hz, channels, size, count, side, protected, family = h
+        if layer == 1 and data[at + 3] >> 6 == 1:  # joint stereo: one allocation for both channels from the bound on
+            side = (36 + 4 * (data[at + 3] >> 4 & 3)) // 2
         if protected and side:
             out["crc_checked"] += 1
             out["crc_failed"] += crc16(data[at + 6 : at + 6 + side], crc16(data[at + 2 : at + 4])) != data[at + 4] << 8 | data[at + 5]
@@ -199,35 +204,37 @@ def parse(data: bytes | None) -> dict:
             out |= table
         else:
             offsets.append(at)
-            samples += count
+            samples[hz] = samples.get(hz, 0) + count
         first = False
         at += size
         lost = at
     out["skipped_bytes"] += end - lost
-    out |= {"n_frames": len(offsets), "samples": max(0, samples - trim)}
-    out["duration_s"] = out["samples"] / out["sample_rate"] if out["sample_rate"] else 0.0
+    if out["sample_rate"] in samples:
+        samples[out["sample_rate"]] = max(0, samples[out["sample_rate"]] - trim)
+    out |= {"n_frames": len(offsets), "samples": sum(samples.values()), "duration_s": sum(n / hz for hz, n in samples.items())}
     return out
 
 
 def synthesise(text: str | None, key: object) -> bytes | None:
-    """An MPEG layer III stream that carries the bytes of ``text`` as frame payload; for tables without audio.
+    """An MPEG stream that carries the bytes of ``text`` as frame payload; for tables without audio.
 
-    The key's hash sets version, rate, channels, protection, bitrates, tags and table. Every 29th frame has a wrong
-    checksum, and junk stands before every 41st.
+    The key's hash sets version, layer, rate, channels, protection, bitrates, tags and table, and whether a long stream
+    goes over to another rate halfway. Every 29th frame has a wrong checksum, and junk stands before every 41st.
     """
     if text is None:
         return None
     raw = text.encode("utf-8", "surrogatepass")
     h = xxhash.xxh3_64_intdigest(f"{key}:{len(raw)}")
-    version, rate, mono, protect, variable = 1 + (h & 1), h >> 1 & 1, h >> 2 & 1, h >> 3 & 1, h >> 4 & 1
-    second = 0xE0 | {1: 3, 2: 2}[version] << 3 | 1 << 1 | (not protect)
+    version, rate, mono, protect, variable = 1 + h % 3, h >> 8 & 1, h >> 9 & 1, h >> 10 & 1, h >> 11 & 1
+    layer = (3, 3, 2, 1)[h >> 12 & 3]
+    second = 0xE0 | {1: 3, 2: 2, 3: 0}[version] << 3 | (4 - layer) << 1 | (not protect)
     name = text[: 40].encode("utf-8", "surrogatepass")
     body = b"TIT2" + struct.pack(">IH", len(name) + 1, 0) + b"\x03" + name + b"TPE1" + struct.pack(">IH", 5, 0) + b"\x00" + f"{h % 9999:04d}".encode()
     size = len(body)
     out = [b"ID3\x03\x00\x00" + bytes([size >> 21 & 127, size >> 14 & 127, size >> 7 & 127, size & 127]) + body]
 
-    def frame(kbps: int, payload: bytes, at: int, wrong: bool) -> tuple[bytes, int]:
-        third, fourth = kbps << 4 | rate << 2, (3 if mono else 0) << 6
+    def frame(kbps: int, hz: int, payload: bytes, at: int, wrong: bool) -> tuple[bytes, int]:
+        third, fourth = kbps << 4 | hz << 2, (3 if mono else 0) << 6
         size, side = _HEADERS[second << 10 | third << 2 | fourth >> 6][4], _HEADERS[second << 10 | third << 2 | fourth >> 6][6]
         inner = size - 4 - 2 * protect
         part = payload[at : at + inner].ljust(inner, b"\0")
@@ -235,15 +242,21 @@ def synthesise(text: str | None, key: object) -> bytes | None:
         return bytes([0xFF, second, third, fourth]) + check + part, inner
 
     rates = [9, 7, 11, 5] if variable else [9]
-    frames, at, k = [], 0, 0
+    frames, at, k, other, since = [], 0, 0, h >> 14 & 1 and len(raw) > 20_000, 0
     while at < len(raw):
-        made, inner = frame(rates[k % len(rates)], raw, at, k % 29 == 28)
-        frames.append((b"junk\xff\xfe" * 3 if k % 41 == 40 else b"") + made)
-        at, k = at + inner, k + 1
-    if variable and frames:
+        moved = other and at > len(raw) // 2
+        made, inner = frame(rates[k % len(rates)], 2 if moved else rate, raw, at, k % 29 == 28)
+        frames.append((b"junk\xff\xfe" * 3 if k % 41 == 40 and since != 1 else b"") + made)  # two frames tell of a new rate
+        at, k, since = at + inner, k + 1, since + moved
+    if variable and frames and layer == 3:
         side = _HEADERS[second << 10 | (9 << 4 | rate << 2) << 2 | (3 if mono else 0)][6]
-        head = bytes(side) + b"Xing" + struct.pack(">III", 7, k, sum(map(len, frames))) + bytes(i * 255 // 99 for i in range(100))
-        out.append(frame(9, head, 0, False)[0])
+        total = sum(map(len, frames))
+        if h >> 15 & 1:
+            table = (b"VBRI" + bytes(6) + struct.pack(">IIHHHH", total, k, 2, 1, 2, 1) + b"\0\1\0\2").rjust(32 + 30 - 2 * protect, b"\0")
+        else:
+            table = bytes(side) + b"Xing" + struct.pack(">III", 7, k, total) + bytes(i * 255 // 99 for i in range(100))
+        if len(frame(9, rate, b"", 0, False)[0]) > len(table) + 6:
+            out.append(frame(9, rate, table, 0, False)[0])
     out += frames
     if h >> 5 & 1:
         out.append(b"TAG" + b"old title".ljust(30, b"\0") + b"old artist".ljust(30, b"\0") + bytes(65))

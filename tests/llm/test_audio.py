@@ -89,12 +89,42 @@ def test_table(spark, odd, none):
     assert audio.from_texts(none).collect() == []
 
 
-def test_synthetic_stream_is_found_whole():
-    for key in range(40):
-        text = f"word {key} " * 4000
-        got = audio.parse(audio.synthesise(text, key))
+def test_synthetic_streams_are_found_whole():
+    seen = set()
+    for key in range(200):
+        text = f"word {key} " * (4000 if key % 2 else 90)
+        data = audio.synthesise(text, key)
+        got = audio.parse(data)
+        n = got["n_frames"]
+        seen.add((got["version"], got["layer"], got["vbr"]))
+        assert got["title"] == text[:40] and n > 0
         if got["vbr"]:
-            assert got["table_frames"] == got["n_frames"]
-        else:
-            assert got["n_frames"] > 20
-        assert got["resyncs"] == (got["n_frames"] - 1) // 41 + 0 if got["n_frames"] > 41 else got["resyncs"] == 0
+            assert got["table_frames"] == n
+        junk = b"junk\xff\xfe" * 3
+        assert got["skipped_bytes"] == data.count(junk) * len(junk) and 0 <= (n - 1) // 41 - data.count(junk) <= 1
+        if got["crc_checked"]:
+            assert got["crc_failed"] == n // 29
+        carried = b"".join(data[o : o + 4000] for o in got["offsets"])
+        assert text.encode()[-20:] in carried
+    assert {v for v, _, _ in seen} == {"1", "2", "2.5"} and {l for _, l, _ in seen} == {1, 2, 3} and {t for _, _, t in seen} == {None, "Xing", "VBRI"}
+
+
+def test_streams_of_two_rates():
+    other = bytes([0xFF, 0xFB, 0x94, 0x00]) + bytes(380)  # the same at 48 kHz: 384 bytes
+    got = audio.parse(FRAME * 30 + other * 20)
+    assert got["n_frames"] == 50 and got["skipped_bytes"] == 0 and got["resyncs"] == 0
+    assert got["duration_s"] == pytest.approx(30 * 1152 / 44100 + 20 * 1152 / 48000) and got["sample_rate"] == 44100
+    got = audio.parse(FRAME * 3 + b"junk" + other * 2)
+    assert got["n_frames"] == 5 and got["skipped_bytes"] == 4
+    assert audio.parse(FRAME * 3 + other)["n_frames"] == 3  # one frame of another rate is no agreement
+
+
+def test_layer_one_joint_stereo_checksum():
+    head = bytes([0xFF, 0xFE, 0x90, 0x60])  # layer I, protected, joint stereo with bound 12
+    size = audio._HEADERS[head[1] << 10 | head[2] << 2 | head[3] >> 6][4]
+    body = bytes(i * 7 % 256 for i in range(size))
+    side = (32 + 12) // 2
+    good = head + audio.crc16(head[2:] + body[:side]).to_bytes(2, "big") + body[: size - 6]
+    bad = head + b"\1\1" + body[: size - 6]
+    got = audio.parse(good + bad + good)
+    assert (got["layer"], got["n_frames"], got["crc_checked"], got["crc_failed"]) == (1, 3, 3, 1)
