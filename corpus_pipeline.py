@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundcheck.llm import langid, mixing, rlz, segment, simhash
-from groundcheck.llm.common import cut
+from groundcheck.llm.common import settled
 from groundcheck.llm.queries import SENTENCEPIECE
 
 
@@ -52,6 +52,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, cut(docs, free=True) if number else docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
