@@ -90,14 +90,12 @@ def drop_cuts() -> None:
 atexit.register(drop_cuts)
 
 
-@contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Tables of ``cut`` that are written inside are deleted at the end: what is kept must have been written by then."""
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut(make())``; the tables that ``make`` wrote on the way are deleted."""
     before = set(_WRITTEN)
-    try:
-        yield
-    finally:
-        _drop([p for p in _WRITTEN if p not in before])
+    out = cut(make())
+    _drop([p for p in _WRITTEN[:-1] if p not in before])
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
