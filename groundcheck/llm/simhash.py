@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, fresh, join_hot, map_slices
@@ -135,24 +135,26 @@ def _bucket_edges(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (t, key, a, b), with or without a pair of slots, in order of their buckets, to edges: a task holds the buckets of
-    one batch and the last one before."""
-    rest = [np.zeros(0, np.int64)] * 5
+    """Rows (t, a, b), with or without a pair of slots, in order of their buckets, to edges: a task holds the buckets of one
+    batch and the last one before."""
+    rest = [np.zeros(0, np.int64)] * 4
+    masks = np.array(MASKS * 2, np.int64)
 
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-        t, _, a, b, _ = cols
+        t, a, b, _ = cols
         i, j = _bucket_edges(t, a, b)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[i], b[i], a[j], b[j])], ["a1", "b1", "a2", "b2"])
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        held.append(columns if len(columns) == 5 else [*columns, np.zeros(len(columns[0]), np.int64)])
+        held.append(columns if len(columns) == 4 else [*columns, np.zeros(len(columns[0]), np.int64)])
         if sum(len(h[0]) for h in held) < 1 << 18:
             continue
-        cols = [np.concatenate([r, *[h[k] for h in held]]) for k, r in enumerate(rest)]
+        cols = t, a, b, pair = [np.concatenate([r, *[h[k] for h in held]]) for k, r in enumerate(rest)]
         held = []
-        turn = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[4]) != 0))
+        key = np.where(t < len(MASKS), a, b) & masks[t]
+        turn = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(pair) != 0))
         end = int(turn[-1]) + 1 if len(turn) else 0
         if end:
             yield edges([c[:end] for c in cols])
@@ -162,29 +164,32 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(cols)
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(t, key, a, b): every fingerprint in its bucket of every table."""
+def _key() -> Column:
+    """The bucket of a fingerprint in table t."""
     mask = F.element_at(F.array(*[F.lit(m) for m in MASKS * 2]), F.col("t") + 1)
-    part = F.when(F.col("t") < len(MASKS), F.col("a")).otherwise(F.col("b"))
-    rows = nodes.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(2 * len(MASKS) - 1))).alias("t"))
-    return rows.select("t", part.bitwiseAND(mask).alias("key"), "a", "b")
+    return F.when(F.col("t") < len(MASKS), F.col("a")).otherwise(F.col("b")).bitwiseAND(mask)
+
+
+def _tabled(nodes: DataFrame) -> DataFrame:
+    """(t, a, b): every fingerprint in every table."""
+    return nodes.select(F.explode(F.sequence(F.lit(0), F.lit(2 * len(MASKS) - 1))).alias("t"), "a", "b")
 
 
 def _placed(nodes: DataFrame, load: int) -> DataFrame:
     """The buckets, sorted within partitions. Which ones are large is told by one fingerprint in ``load / 16``: that decides
     how the work is spread, never what is compared, as any two slots of a bucket meet."""
-    rows = _keyed(nodes)
+    rows = _tabled(nodes)
     if nodes.count() <= load:  # no bucket can be larger
-        return rows.repartition("t", "key").sortWithinPartitions("t", "key")
+        return rows.repartition("t", _key()).sortWithinPartitions("t", _key())
     every = max(1, load // 16)
     some = nodes.where(F.pmod(F.xxhash64("b", "a"), F.lit(every)) == 0)
-    large = _keyed(some).groupBy("t", "key").agg((F.count("*") * every / load).alias("over")).where("over > 0.5")
-    rows = rows.join(large.select("t", "key", F.ceil("over").cast("int").alias("slots")), ["t", "key"], "left")
+    large = _tabled(some).groupBy("t", _key().alias("key")).agg((F.count("*") * every / load).alias("over")).where("over > 0.5")
+    rows = rows.withColumn("key", _key()).join(large.select("t", "key", F.ceil("over").cast("int").alias("slots")), ["t", "key"], "left")
     slots = F.coalesce("slots", F.lit(1))
     own = F.pmod(F.xxhash64("a", "b"), slots).cast("int")
     meets = F.transform(F.sequence(F.lit(0), slots - 1), lambda x: F.least(x, own) * slots + F.greatest(x, own))
-    pairs = rows.select("t", "key", "a", "b", F.explode(meets).alias("pair"))
-    return pairs.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
+    pairs = rows.select("t", "a", "b", F.explode(meets).alias("pair"))
+    return pairs.repartition("t", _key(), "pair").sortWithinPartitions("t", _key(), "pair")
 
 
 def groups(docs: DataFrame, load: int = LOAD) -> tuple[DataFrame, DataFrame]:
