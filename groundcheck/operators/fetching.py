@@ -76,7 +76,6 @@ def cascade(url: str, get: Get, sleep: Callable[[float], None], max_retries: int
     ``get(url, strategy)`` gives (status, error kind, content, content type, seconds to wait that the server asks for).
     """
     rows: list[tuple] = []
-    url = url.replace("://www.reddit.com/", "://old.reddit.com/").replace("://reddit.com/", "://old.reddit.com/")
 
     def plain(at: str, name: str) -> int | None:
         status = None
@@ -106,8 +105,12 @@ def cascade(url: str, get: Get, sleep: Callable[[float], None], max_retries: int
     return rows
 
 
-def fetch(refs: DataFrame, get: Get, partitions: int = 4, sleep: Callable[[float], None] | None = None) -> DataFrame:
-    """Attempts at every distinct reference's raw URL; references of one host share a task, so a host sees one client."""
+PARTITIONS = 32
+
+
+def fetch(refs: DataFrame, get: Get, partitions: int = PARTITIONS, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """Attempts at every distinct reference's raw URL, its host rewritten; references of one host share a task, so a host
+    sees one client."""
     import time
 
     wait = sleep or time.sleep
@@ -119,11 +122,11 @@ def fetch(refs: DataFrame, get: Get, partitions: int = 4, sleep: Callable[[float
             yield pd.DataFrame(rows, columns=names).astype({"attempt": "int32", "http_status": "Int32"})
 
     host = F.regexp_extract("raw_url", r"^[^:]*://([^/?#]*)", 1)
-    todo = refs.groupBy("id").agg(F.min("raw_url").alias("raw_url"))
+    todo = refs.groupBy("id").agg(T.rewrite_host(F.min("raw_url")).alias("raw_url"))
     return todo.repartition(partitions, host).mapInPandas(run, FETCH_ATTEMPTS)
 
 
-def refetch(rows: DataFrame, get: Get, partitions: int = 4) -> DataFrame:
+def refetch(rows: DataFrame, get: Get, partitions: int = PARTITIONS) -> DataFrame:
     """One browser attempt at each (reference_id, url): for pages that were fetched but had no text to convert."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,16 +143,9 @@ def pending(refs: DataFrame, documents: DataFrame) -> DataFrame:
     return refs.join(documents.select(F.col("reference_id").alias("id")), "id", "left_anti")
 
 
-def with_status(refs: DataFrame, outcomes: DataFrame, documents: DataFrame, now) -> DataFrame:
-    """References with what is known of them: held ones are downloaded, whatever else is said, others as their outcome."""
-    held = documents.select(F.col("reference_id").alias("id"), F.lit(True).alias("held")).distinct()
-    got = outcomes.select(F.col("reference_id").alias("id"), F.col("status").alias("s"), F.col("http_status").alias("h"), F.col("error_message").alias("e"))
-    rows = refs.join(held, "id", "left").join(got, "id", "left")
-    seen = F.col("s").isNotNull()
-    return rows.select(
-        *[c for c in refs.columns if c not in ("status", "http_status", "fetched_at", "error_message")],
-        F.when(F.col("held") | (F.col("s") == "downloaded"), "downloaded").otherwise(F.coalesce("s", "status")).alias("status"),
-        F.when(F.col("s") == "downloaded", F.col("h")).otherwise(F.col("http_status")).alias("http_status"),
-        F.when(seen, now).otherwise(F.col("fetched_at")).alias("fetched_at"),
-        F.when(F.col("held") | (F.col("s") == "downloaded"), F.lit(None)).when(seen, F.col("e")).otherwise(F.col("error_message")).alias("error_message"),
-    )
+def latest_status(refs: DataFrame, statuses: DataFrame) -> DataFrame:
+    """References with the last status that was noted of their page; ``statuses`` only grows."""
+    last = statuses.groupBy("id").agg(F.max_by(F.struct("status", "http_status", "fetched_at", "error_message"), F.struct("fetched_at", "turn")).alias("_s"))
+    rows = refs.join(last, "id", "left")
+    known = lambda c: F.when(F.col("_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(*[known(c) if c in ("status", "http_status", "fetched_at", "error_message") else c for c in refs.columns])

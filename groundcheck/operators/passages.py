@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 
-MAX_TOKENS, OVERLAP = 512, 50
+MAX_TOKENS, OVERLAP, RANGES = 512, 50, 256
 Count = Callable[[str], int]
 
 
@@ -92,10 +92,13 @@ def with_sections(rows: DataFrame, first_line: bool = False) -> DataFrame:
 def with_ids(rows: DataFrame, start: int = 0) -> DataFrame:
     """Passages with their id and a dense number over all documents in the order of reference_id.
 
-    Documents' counts are summed up within ranges of ids and the ranges' totals across them, so no task sorts them all.
+    Documents' counts are summed up within ranges of ids and the ranges' totals across them, so no task sorts them all. The
+    ranges' bounds are ids of ``RANGES`` documents, those of least hash: they share out the work and change no number.
     """
     counts = rows.groupBy("reference_id").agg((F.max("position") + 1).cast("bigint").alias("n"))
-    block = F.substring("reference_id", 1, 3)
+    some = rows.select("reference_id").distinct().orderBy(F.xxhash64("reference_id"), "reference_id").limit(RANGES).collect()
+    bounds = F.array(*[F.lit(r[0]) for r in some]).cast("array<string>")
+    block = F.size(F.filter(bounds, lambda b: b < F.col("reference_id")))
     totals = counts.groupBy(block.alias("block")).agg(F.sum("n").alias("t"))
     upto = totals.select("block", (F.sum("t").over(W.orderBy("block")) - F.col("t")).alias("lower"))  # one row a block
     inner = W.partitionBy("block").orderBy("reference_id").rowsBetween(W.unboundedPreceding, 0)

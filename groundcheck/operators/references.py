@@ -134,6 +134,18 @@ def repaired(refs: DataFrame, links: DataFrame) -> DataFrame:
     return merge(mended(refs, links).select("answer_id", F.lit(1).alias("source_rank"), "ord", F.col("citation_markers").alias("markers"), "title", "url"))
 
 
+EXTRACT = (
+    "List the sources that the text you are given cites: one entry a source, with the marks that cite it, such as [1], its URL "
+    "and its title. Take URLs letter by letter from the text; leave out sources without one. Answer with one JSON object."
+)
+_TEXT = {"type": "string"}
+_ENTRY = {"citation_markers": {"type": "array", "items": _TEXT}, "url": _TEXT, "title": _TEXT}
+EXTRACTED_SHAPE = {
+    "type": "object", "additionalProperties": False, "required": ["references"],
+    "properties": {"references": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": list(_ENTRY), "properties": _ENTRY}}},
+}
+
+
 class ReferenceModel(Protocol):
     """A model that lists the sources of an answer: text to the JSON object of ``EXTRACTED_JSON``."""
 

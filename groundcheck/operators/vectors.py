@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: A side of fewer vectors than this may be sent to all tasks; a larger one is joined by blocks.
-BROADCAST_ROWS = 200_000
 #: Claims of one reference that a task scores at once; more are spread over several tasks.
 CLAIMS_PER_TASK = 20_000
 
@@ -93,9 +91,14 @@ def _top(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
 def _best(who: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's k best vectors of a block: score to six places, ties by id."""
     s = np.round(q @ x.T, 6)
-    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(s)), order.shape[1])
-    return pd.DataFrame({"claim_id": who[rows], "embedding_id": ids[order.ravel()], "score": s[rows, order.ravel()]})
+    n = s.shape[1]
+    least = np.partition(s, n - k, axis=1)[:, n - k, None] if k < n else np.full((len(s), 1), -np.inf)
+    row, at = np.nonzero(s >= least)  # the k best and what ties with the last of them
+    order = np.lexsort((ids[at], -s[row, at], row))
+    row, at = row[order], at[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[keep], at[keep]
+    return pd.DataFrame({"claim_id": who[row], "embedding_id": ids[at], "score": s[row, at]})
 
 
 def _described(top: DataFrame, passages: DataFrame) -> DataFrame:
@@ -129,34 +132,25 @@ def top_scoped(queries: DataFrame, passages: DataFrame, k: int, block: int = 409
     return _described(_top(found, k), passages)
 
 
-def top_full(queries: DataFrame, passages: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """The k best passages of each claim among all, by blocked matrix products.
+def top_full(queries: DataFrame, passages: DataFrame, k: int, block: int = 4096, held: int = 2048) -> DataFrame:
+    """The k best passages of each claim among all, by blocked matrix products; one plan at every size.
 
-    Queries are cut into blocks that meet every partition of passages; each task keeps its own k best for a query, so
-    what is shuffled is k rows a query and partition. The query side is sent to tasks only up to ``BROADCAST_ROWS``.
+    Queries and passages are cut into blocks of about ``block`` and ``held`` vectors by hash, and each pair of blocks is a
+    group of its own, which leaves k rows a query. Nothing is sent to the driver or to all tasks.
     """
-    spark = queries.sparkSession
-    asked = queries.select("claim_id", "embedding")
-    if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        scored = asked.withColumnRenamed("embedding", "q").crossJoin(passages).withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6))
-        keep = [c for c in ("id", "reference_id", "text") if c in passages.columns]
-        return _top(scored.select("claim_id", "embedding_id", *keep, "score"), k)
-    pdf = asked.toPandas()
-    names = pdf["claim_id"].to_numpy()
-    held = spark.sparkContext.broadcast((names, np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, q = held.value
-        best: list[pd.DataFrame] = []
-        for part in batches:
-            if not len(part) or not len(q):
-                continue
-            x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            ids = part["embedding_id"].to_numpy()
-            best += [_best(who[at : at + block], q[at : at + block], ids, x, k) for at in range(0, len(q), block)]
-        if best:
-            yield pd.concat(best)
+    asked = queries.select("claim_id", F.col("embedding").alias("q"))
+    rows, columns = (max(1, -(-d.count() // n)) for d, n in ((asked, block), (passages, held)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumns({"i": F.pmod(F.xxhash64("claim_id"), F.lit(rows)).cast("int"), "j": every(columns)})
+    right = passages.select("embedding_id", "embedding", F.pmod(F.xxhash64("embedding_id"), F.lit(columns)).cast("int").alias("j"), every(rows).alias("i"))
+
+    def group(claims: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(claims) or not len(part):
+            return pd.DataFrame({"claim_id": claims["claim_id"][:0], "embedding_id": part["embedding_id"][:0], "score": np.zeros(0)})
+        q, x = (np.stack(c.to_numpy()).astype(np.float64) for c in (claims["q"], part["embedding"]))
+        who, ids = claims["claim_id"].to_numpy(), part["embedding_id"].to_numpy()
+        return pd.concat([_best(who[at : at + 1024], q[at : at + 1024], ids, x, k) for at in range(0, len(q), 1024)])
 
     kind = dict(asked.dtypes)["claim_id"]
-    found = passages.select("embedding_id", "embedding").mapInPandas(run, f"claim_id {kind}, embedding_id bigint, score double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(group, f"claim_id {kind}, embedding_id bigint, score double")
     return _described(_top(found, k), passages)

@@ -12,6 +12,7 @@ REFERENCES = (
     "status string, http_status int, fetched_at timestamp, error_message string, tool_name string"
 )
 DOCUMENTS = "reference_id string, markdown string, content_hash string, fetch_method string, word_count int"
+REFERENCE_STATUS = "id string, turn bigint, status string, http_status int, fetched_at timestamp, error_message string"
 CLAIMS = "id string, answer_id string, position int, text string, cited_reference_ids array<string>"
 PASSAGES = (
     "id string, reference_id string, section string, text string, token_count int, embedding_id bigint, embedding array<float>"

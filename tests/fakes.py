@@ -24,3 +24,8 @@ def script_get(url, strategy):
     """A page that has text only in a browser, and one that has none."""
     page = b"<p>A claim that a script wrote</p>" if strategy == "browser" and url.endswith("script") else b"<script>x</script>"
     return 200, None, page, "text/html", None
+
+
+def pdf_text(content):
+    """What a converter makes of a PDF: line breaks have cost the URLs some letters."""
+    return "The data law protects people [1]. The internet law is older [2].\n\n## Sources\n[1] Data law https://e.com/dta\n[2] Net law https://e.com/net"

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import http.server
 import json
+import re
+import threading
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from groundcheck import cli
+from groundcheck import adapters, cli
 from groundcheck.config import Settings
 from groundcheck.errors import ConfigurationError, LLMParseError, LLMProviderError
 from groundcheck.operators import fetching, judging, passages, reporting, retrieval, vectors
@@ -43,8 +46,15 @@ def test_cascade():
     assert [r[1] for r in fetching.cascade("http://e/x.PDF?y", get, slept.append)] == ["plain", "guarded"]
     slept.clear()
     get, calls = server(lambda u, s, n: (429, None, None, None, 7.0 if n == 1 else None))
-    fetching.cascade("https://www.reddit.com/r/x", get, slept.append)
-    assert slept == [7.0, 60.0] and calls[0][0] == "https://old.reddit.com/r/x"
+    fetching.cascade("https://e/x", get, slept.append)
+    assert slept == [7.0, 60.0]
+
+
+def test_hosts_are_rewritten_before_fetching(spark):
+    urls = ["https://www.reddit.com/r/x", "https://reddit.com", "https://e.com/?to=https://www.reddit.com/r/x"]
+    refs = spark.createDataFrame([(str(i), u) for i, u in enumerate(urls)], "id string, raw_url string")
+    got = {r["reference_id"]: r["url"] for r in fetching.fetch(refs, lambda u, s: (404, None, None, None, None), 2).collect()}
+    assert got == {"0": "https://old.reddit.com/r/x", "1": "https://old.reddit.com", "2": urls[2]}
 
 
 def test_outcomes(spark):
@@ -103,16 +113,27 @@ def test_retrieval_is_scoped(spark):
     assert all(r["passages"] == [] and r["assembled_context"] == "" for r in empty)
 
 
-def test_full_search_beyond_the_broadcast_limit(spark, monkeypatch):
-    q = asked(spark).withColumnRenamed("id", "claim_id")
-    small = sorted(map(tuple, vectors.top_full(q, index(spark), 2).select("claim_id", "embedding_id", "rank").collect()))
-    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 1)
-    assert small == sorted(map(tuple, vectors.top_full(q, index(spark), 2).select("claim_id", "embedding_id", "rank").collect()))
+def test_full_search_in_blocks_equals_comparing_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-2, 3, (40, 6)).astype(float), rng.integers(-2, 3, (300, 6)).astype(float)  # many ties
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "claim_id string, embedding array<double>")
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "embedding_id bigint, embedding array<double>")
+    want = {(f"q{i}", int(j), n) for i in range(40) for n, j in enumerate(np.lexsort((np.arange(300), -(x @ q[i])))[:7], 1)}
+    for sizes in ((4096, 2048), (11, 50)):
+        rows = vectors.top_full(queries, held, 7, *sizes).select("claim_id", "embedding_id", "rank").collect()
+        assert len(rows) == 280 and set(map(tuple, rows)) == want
+    few = vectors.top_full(queries, held.limit(3), 7).count()
+    assert few == 120 and vectors.top_full(queries, held.where("false"), 7).count() == 0 and vectors.top_full(queries.where("false"), held, 7).count() == 0
 
 
 def test_costs_and_verdicts(spark):
-    df = spark.createDataFrame([("anthropic", "opus", 10**6, 10**6), ("local", "opus", 1, 1), ("anthropic", "new", 5, 5), ("openai", "opus", 5, 5)], "p string, m string, a int, b int")
+    first = next(iter(judging.PRICES))
+    df = spark.createDataFrame([("anthropic", first, 10**6, 10**6), ("local", first, 1, 1), ("anthropic", "new", 5, 5), ("openai", first, 5, 5)], "p string, m string, a int, b int")
     assert [r[0] for r in df.select(judging.cost_usd(*map(F.col, "pmab"))).collect()] == [30.0, 0.0, 0.0, 0.0]
+    own = Settings(llm_prices='{"new": [1, 2]}').prices()
+    assert [r[0] for r in df.select(F.round(judging.cost_usd(*map(F.col, "pmab"), own), 6)).collect()] == [0.0, 0.0, 0.000015, 0.0]
     raw = spark.createDataFrame([('{"verdict": "supported", "justification": "j"}',), ('{"verdict": "other", "justification": "j"}',), ("nothing",)], "r string")
     assert [r[0] and r[0]["verdict"] for r in raw.select(judging.valid_verdict(F.col("r"))).collect()] == ["supported", None, None]
 
@@ -152,6 +173,106 @@ def test_retrying_client():
         judging.client(Settings(llm_provider="anthropic"))
     with pytest.raises(ConfigurationError):
         judging.client(Settings(llm_provider="other"))
+    assert isinstance(judging.client(Settings(llm_provider="openai")).call, adapters.ChatCall)  # a key is not asked for
+    assert isinstance(judging.client(Settings()), judging.RetryingClient) and isinstance(judging.client(Settings(llm_provider="containment")), judging.ContainmentJudge)
+
+
+class Server:
+    """A chat server on this machine that answers from a script and keeps what it was sent."""
+
+    def __init__(self, script):
+        self.seen, self.script = [], script
+        own = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                own.seen.append((self.path, dict(self.headers), body))
+                code, reply = own.script(body, len(own.seen))
+                data = json.dumps(reply).encode()
+                self.send_response(code)
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+
+            def log_message(self, *_):
+                pass
+
+        self.http = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.http.server_port}"
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+
+
+def chat(text: str) -> dict:
+    return {"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": 11, "completion_tokens": 3}}
+
+
+def test_chat_protocol():
+    said = '{"verdict": "supported", "justification": "j", "cited_excerpts": []}'
+
+    def script(body, n):
+        if "temperature" in body:
+            return 400, {"error": "temperature is not supported with this model"}
+        return (503, {"error": "busy"}) if n == 2 else (200, chat(said))
+
+    server, slept = Server(script), []
+    judge = judging.client(Settings(llm_base_url=server.url + "/v1/", openai_api_key="k", llm_model="some/model"))
+    judge.sleep = slept.append
+    assert judge.reply("sys", "user")[:3] == (said, 11, 3) and slept == [2.0]
+    path, headers, body = server.seen[-1]
+    assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k" and body["model"] == "some/model"
+    assert body["messages"] == [{"role": "system", "content": "sys"}, {"role": "user", "content": "user"}]
+    shape = body["response_format"]["json_schema"]
+    assert shape["strict"] and shape["schema"]["additionalProperties"] is False and set(shape["schema"]["required"]) == {"verdict", "justification", "cited_excerpts"}
+    assert judge.reply("sys", "user")[:3] == (said, 11, 3) and len(server.seen) == 4  # what was rejected is not sent again
+    empty = judging.client(Settings(llm_base_url=Server(lambda b, n: (200, {"choices": []})).url))
+    with pytest.raises(LLMParseError):
+        empty.reply("s", "u")
+
+
+def test_messages_protocol():
+    reply = {"content": [{"type": "text", "text": "{}"}], "usage": {"input_tokens": 5, "output_tokens": 2}}
+    server = Server(lambda body, n: (200, reply) if "temperature" not in body else (400, {"error": {"message": "temperature: not allowed"}}))
+    judge = judging.client(Settings(llm_provider="anthropic", anthropic_api_key="k", llm_model="m"), adapters.MessagesCall("m", "k", server.url))
+    assert judge.reply("sys", "user")[:3] == ("{}", 5, 2)
+    path, headers, body = server.seen[-1]
+    assert path == "/v1/messages" and headers["X-Api-Key" if "X-Api-Key" in headers else "x-api-key"] == "k"
+    assert body["system"] == "sys" and body["messages"] == [{"role": "user", "content": "user"}] and body["max_tokens"] == 1024
+    assert body["output_format"]["schema"]["required"] == ["verdict", "justification", "cited_excerpts"]
+
+
+def test_provider_failure_keeps_what_was_paid(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "runs"))
+    start(space, spark.createDataFrame([("a", "tool", ".md", ANSWER)], "answer_id string, tool_name string, suffix string, text string"))
+    said = '{"verdict": "supported", "justification": "j", "cited_excerpts": []}'
+    server = Server(lambda body, n: (500, {"error": "down"}) if "internet law" in body["messages"][1]["content"].split("EVIDENCE")[0] else (200, chat(said)))
+    how = Settings(llm_base_url=server.url, llm_retry_delay=0.0, judge_batch=1, llm_model="some/model")
+    audit = Audit(space, get, judging.client(how), settings=how)
+    with pytest.raises(LLMProviderError):
+        audit.run()
+    assert space.read("judge_errors").first()["error"] == "provider" and audit.pending_count() >= 1
+    server.script = lambda body, n: (200, chat(said))
+    asked_before = len(server.seen)
+    Audit(space, get, judging.client(how), settings=how).run()
+    rows = space.read("results").collect()
+    assert audit.pending_count() == 0 and len(rows) == 2 and {r["judge_model"] for r in rows} == {"some/model"}
+    assert len(server.seen) - asked_before == 2 - sum(r["seq"] < 2**32 for r in rows)
+    text = space.report("a")
+    assert "some/model" in text and server.url in text
+
+
+def test_one_run_is_resumed_alone(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "runs"))
+    two = [(i, "tool", ".md", ANSWER) for i in ("a", "b")]
+    start(space, spark.createDataFrame(two, "answer_id string, tool_name string, suffix string, text string"))
+    judge = Counting()
+    Audit(space, get, judge, only="a").run()
+    of = {r["answer_id"] for r in space.read("claims").collect()}
+    assert of == {"a"} and space.report("a") and space.report("b") is None
+    Audit(space, get, judge, only="b").run()
+    assert {r["answer_id"] for r in space.read("claims").collect()} == {"a", "b"} and space.report("b") and space.report("a")
+    rows = space.read("references").collect()
+    assert {r["status"] for r in rows if r["answer_id"] == "b"} == {"downloaded", "dead"}
 
 
 def test_whole_audit(spark, tmp_path):
@@ -173,7 +294,8 @@ def test_whole_audit(spark, tmp_path):
     assert (row["total_chunks"], row["count_supported"], row["count_skipped"]) == (4, 1, 2)
     assert row["pct_supported"] == 25.0 and [d["raw_url"] for d in row["dead_references"]] == ["https://e.com/gone"]
     assert Counter(s["times_cited"] for s in row["reference_stats"]) == {1: 2, 0: 1}
-    text = spark.read.parquet(f"{space.root}/report_md").first()["markdown"]
+    text = space.report("a")
+    assert "| Modelo do juiz LLM | containment |" in text or "containment" in text
     assert "| **SUPPORTED** | 1 | 25.0% |" in text and "| **SKIPPED** | 2 | 50.0% |" in text and "| **TOTAL** | 4 | 100.0% |" in text
     assert "## 5. " in text and "- https://e.com/gone — HTTP 404" in text and "## 6. " in text and "## 7. " in text and "Referências sem nenhuma citação: 1/3 (33.3%)" in text
     assert json.loads(spark.read.parquet(f"{space.root}/report_json").first()["json"])["total_chunks"] == 4
@@ -216,15 +338,27 @@ def test_stream(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setenv("DATA_DIR", str(tmp_path))
-    monkeypatch.setitem(__import__("sys").modules, "fake_fetch", type("M", (), {"get": staticmethod(get)}))
+    monkeypatch.setenv("LLM_PROVIDER", "containment")
     (tmp_path / "answer.md").write_text(ANSWER)
-    monkeypatch.setattr(cli, "_named", lambda path: get)
-    assert cli.main(["--fetcher", "x:get", "run", str(tmp_path / "answer.md"), "--tool", "T"], spark) == 0
+    assert cli.main(["--fetcher", "tests.fakes:get", "run", str(tmp_path / "answer.md"), "--tool", "T"], spark) == 0
     run_id = capsys.readouterr().out.strip()
+    assert re.fullmatch(r"answer_[0-9a-f]{12}_\d{8}T\d{6}Z", run_id)
     assert cli.main(["report", run_id], spark) == 0 and "Relatório de Auditoria — T" in capsys.readouterr().out
     assert cli.main(["resume", run_id], spark) == 0 and "0 pending" in capsys.readouterr().out
     assert cli.main(["compare", run_id], spark) == 0 and "| T | 2 | 50.0% |" in capsys.readouterr().out
     assert cli.main(["report", "nothing"], spark) == 2
+    assert cli.main(["--strategy", "model", "resume", run_id], spark) == 2  # the stand-in reads no lists
+
+
+def test_pdf_answers(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("DATA_DIR", str(tmp_path))
+    monkeypatch.setenv("LLM_PROVIDER", "containment")
+    link = lambda u: b"<</Type/Annot/Subtype/Link/A<</S/URI/URI(" + u + b")>>>>"
+    (tmp_path / "answer.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n" + link(b"https://e.com/data") + b"\nendobj\n" + link(b"https://e.com/net#top"))
+    assert cli.main(["--fetcher", "tests.fakes:get", "--pdf", "tests.fakes:pdf_text", "run", str(tmp_path / "answer.pdf")], spark) == 0
+    space = Workspace(spark, str(tmp_path / "runs"))
+    assert {r["url"] for r in space.read("pdf_links").collect()} == {"https://e.com/data", "https://e.com/net"}
+    assert {r["raw_url"] for r in space.read("references").collect()} >= {"https://e.com/data", "https://e.com/net"}
 
 
 def test_settings(monkeypatch, tmp_path):
