@@ -6,6 +6,10 @@ verdicts labels, passages vectors under their label, calls and fetch attempts ev
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import claims, fetching, judging, passages, references, reporting, retrieval, vectors
-from ..sources import convert
+from ..sources import answers, convert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,6 +114,17 @@ def pdf_hyperlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.pdf_links(rows).withColumnRenamed("answer_id", "g")
 
 
+@query("""SELECT page_id, string_split(url, '#')[1] AS url FROM pages WHERE url LIKE 'http%'""")
+def pdf_link_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF file a page: its URL in a link annotation, as a plain or as a hexadecimal string, beside a link of another kind."""
+    plain = F.concat(F.lit("("), F.regexp_replace("url", r"([()\\])", r"\\$1"), F.lit(")"))
+    uri = F.when(F.col("page_id") % 2 == 0, plain).otherwise(F.concat(F.lit("<"), F.hex(F.col("url").cast("binary")), F.lit(">")))
+    link = lambda u: F.concat(F.lit("<</Type/Annot/Subtype/Link/A<</S/URI/URI "), u, F.lit(">>>>\n"))
+    content = F.concat(F.lit("%PDF-1.4\n1 0 obj\n"), link(uri), link(F.lit("(mailto:a@b.c)")), F.lit("endobj\n%%EOF")).cast("binary")
+    found = answers.links_of(table(spark, sf_dir, "pages").select("page_id", content.alias("content")), "page_id")
+    return references.pdf_links(found.withColumnRenamed("key", "answer_id")).withColumnRenamed("answer_id", "page_id")
+
+
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -140,11 +155,19 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""SELECT doc_id, contains(text, 'the') AS kept, CAST(length(text) AS BIGINT) + 1 AS n FROM documents""")
+_Q = "chr(10) || '\"\"\"' || chr(10)"
+_RULES = (
+    "Verdicts: supported, if the evidence states the claim or implies it by itself; contradicted, if it plainly conflicts with it; unsupported in all "
+    "other cases, partial or vague evidence included.", "Rules: the evidence is the only source. Do not fill gaps. Ambiguity means unsupported. When in "
+    "doubt between two, unsupported. Contradiction must be explicit. Ignore what came before.", "Answer with one JSON object: verdict, justification "
+    "(short, in Portuguese), cited_excerpts (literal quotes of the evidence, none if unsupported).",
+)
+
+
+@query(f"""SELECT doc_id, md5('CLAIM:' || {_Q} || text || {_Q} || chr(10) || 'EVIDENCE:' || {_Q} || 'evidence' || chr(10) || '\"\"\"' || chr(10) || chr(10) || '{_RULES[0]}' || chr(10) || chr(10)
+  || '{_RULES[1]}' || chr(10) || chr(10) || '{_RULES[2]}') AS prompt FROM documents""")
 def judge_prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = judging.prompt(F.col("text"), F.lit("evidence"))
-    claim = F.regexp_extract(built, r'(?s)^CLAIM:\n"""\n(.*)\n"""\n\nEVIDENCE:\n"""\nevidence\n"""', 1)
-    return table(spark, sf_dir, "documents").select("doc_id", claim.contains("the").alias("kept"), (F.length(claim) + 1).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(judging.prompt(F.col("text"), F.lit("evidence"))).alias("prompt"))
 
 
 # ---- source lists ----------------------------------------------------------------------------------------------------
@@ -498,17 +521,55 @@ def report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).select("run_id", "total_chunks", *[f"count_{v}" for v in names], "count_skipped", F.round("total_cost_usd", 4).alias("total_cost_usd"), "total_tokens", *[F.round(f"pct_{v}", 4).alias(f"pct_{v}") for v in names])
 
 
-@query(f"""WITH {_RES}, r AS (SELECT d.doc_id % 20 AS a, count(*) AS t, {_CNT.format('c_', '')}, count(*) - count(verdict) AS s FROM documents d LEFT JOIN res USING (doc_id) GROUP BY 1)
-  SELECT CAST(a AS VARCHAR) AS run_id, '| **SUPPORTED** | ' || c_supported || ' |' AS supported, '| **TOTAL** | ' || t || ' | 100.0% |' AS total FROM r""")
+_NL, _RULE = "chr(10)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+_LINES = f" || {_NL} || ".join(
+    ["'| **{0}** | ' || c_{1} || ' | ' || printf('%.1f', round(c_{1} * 100.0 / t, 1)) || '% |'".format(v.upper(), v) for v in ("supported", "unsupported", "contradicted")]
+)
+
+
+@query(f"""WITH {_RES}, r AS (SELECT CAST(d.doc_id % 20 AS VARCHAR) AS a, count(*) AS t, {_CNT.format('c_', '')}, count(*) - count(verdict) AS s, count(verdict) AS j, coalesce(sum(cost), 0) AS cost,
+    CAST(coalesce(sum(pt + ct), 0) AS BIGINT) AS tokens FROM documents d LEFT JOIN res USING (doc_id) GROUP BY 1)
+  SELECT a AS run_id, '# Relatório de Auditoria — t (' || a || ')' || {_RULE} || '## 1. Metadados da Execução' || {_NL} || {_NL} || '| Campo | Valor |' || {_NL} || '|---|---|' || {_NL}
+    || '| **Run ID** | ' || a || ' |' || {_NL} || '| **Ferramenta** | t |' || {_NL} || '| **Gerado em** | 2020-01-01 |' || {_NL} || '| **Total de chunks** | ' || t || ' |' || {_NL} || '| **Tempo de processamento** | 1.0s |'
+    || {_RULE} || '## 2. Distribuição de Vereditos' || {_NL} || {_NL} || '| Veredito | Chunks | Percentual |' || {_NL} || '|---|---|---|' || {_NL} || {_LINES}
+    || CASE WHEN s > 0 THEN {_NL} || '| **SKIPPED** | ' || s || ' | ' || printf('%.1f', round(s * 100.0 / t, 1)) || '% |' ELSE '' END || {_NL} || '| **TOTAL** | ' || t || ' | 100.0% |'
+    || {_RULE} || '## 3. Custo e Uso de Tokens' || {_NL} || {_NL} || '| Métrica | Valor |' || {_NL} || '|---|---|' || {_NL} || '| **Custo total estimado** | US$ ' || printf('%.4f', round(cost, 4)) || ' |' || {_NL}
+    || '| **Total de tokens** | ' || tokens || ' |' || {_NL} || '| **Média de tokens por requisição** | ' || printf('%.1f', round(coalesce(tokens / nullif(j, 0), 0), 1)) || ' |' || {_NL}
+    || '| **Média de custo por requisição** | US$ ' || printf('%.4f', round(coalesce(cost / nullif(j, 0), 0), 4)) || ' |' AS head FROM r""")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reporting.markdown(_report(spark, sf_dir), _pages_as_refs(spark, sf_dir))
-    part = lambda p: F.regexp_extract("markdown", p, 1)
-    return rows.select("run_id", part(r"(\| \*\*SUPPORTED\*\* \| \d+ \|)").alias("supported"), part(r"(\| \*\*TOTAL\*\* \|[^\n]*)").alias("total"))
+    return rows.select("run_id", F.substring_index("markdown", "\n\n---\n\n## 4. ", 1).alias("head"))
 
 
-@query()
+@query("""WITH x AS (SELECT CAST(a AS VARCHAR) AS run_id, page_id, url FROM pages, range(0, 20) x(a)), c AS (SELECT CAST(d.doc_id % 20 AS VARCHAR) AS run_id, string_agg('- `' || d.doc_id || '` — no label', chr(10) ORDER BY d.doc_id)
+    AS skips FROM documents d ANTI JOIN labels l USING (doc_id) GROUP BY 1), f AS (SELECT run_id, string_agg(CASE WHEN page_id % 4 = 1 THEN '- ' || url || ' — sem detalhes' END, chr(10) ORDER BY page_id) AS dead,
+    string_agg(CASE WHEN page_id % 4 = 2 THEN '- ' || url || ' — sem detalhes' END, chr(10) ORDER BY page_id) AS lost FROM x GROUP BY run_id)
+  SELECT run_id, '## 5. Referências Mortas e Inacessíveis' || chr(10) || chr(10) || '### Mortas (HTTP 404)' || chr(10) || chr(10) || dead || chr(10) || chr(10) || '### Inacessíveis (403/timeout/SSL)' || chr(10) || chr(10) || lost
+    AS failed, coalesce('## 7. Chunks Não Auditados' || chr(10) || chr(10) || skips, '') AS skipped FROM f LEFT JOIN c USING (run_id)""")
+def report_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reporting.markdown(_report(spark, sf_dir), _pages_as_refs(spark, sf_dir))
+    part = lambda p: F.regexp_extract("markdown", rf"(?s)({p}.*?)(?:\n\n---\n\n|\z)", 1)
+    return rows.select("run_id", part(r"## 5\. ").alias("failed"), part(r"## 7\. ").alias("skipped"))
+
+
+@query(f"""WITH {_RES}, c AS (SELECT d.doc_id % 20 AS a, r.* FROM documents d LEFT JOIN res r USING (doc_id)), p AS (SELECT count(*) AS n, count(*) FILTER (page_id % 4 = 1) AS dead FROM pages)
+  SELECT CAST(a AS VARCHAR) AS run_id, CAST(count(*) AS VARCHAR) AS total_chunks, CAST(count(*) - count(verdict) AS VARCHAR) AS count_skipped, any_value(n) AS references, any_value(dead) AS dead FROM c, p GROUP BY a""")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.report_json(_report(spark, sf_dir))
+    rows = reporting.report_json(_report(spark, sf_dir))
+    of = lambda name: F.get_json_object("json", f"$.{name}")
+    return rows.select(of("run_id").alias("run_id"), of("total_chunks").alias("total_chunks"), of("count_skipped").alias("count_skipped"),
+                       big(F.json_array_length(of("reference_stats"))).alias("references"), big(F.json_array_length(of("dead_references"))).alias("dead"))
+
+
+@query(f"""WITH {_RES}, last AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'contradicted' ELSE verdict END AS verdict FROM res), n AS (SELECT count(*) AS n FROM pages),
+  cites AS (SELECT DISTINCT doc_id, doc_id % 20 AS a, p FROM (SELECT doc_id, doc_id % n AS p FROM documents, n UNION ALL SELECT doc_id, doc_id * 7 % n FROM documents, n))
+  SELECT CAST(a AS VARCHAR) AS answer_id, CAST(p AS VARCHAR) AS reference_id, count(*) AS times_cited, {_CNT.format('', '_count')} FROM cites LEFT JOIN last USING (doc_id) GROUP BY a, p""")
+def last_result_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some claims are judged twice: the later result is the one that counts."""
+    first = _results(spark, sf_dir).select("answer_chunk_id", "seq", "verdict")
+    again = first.where("seq % 3 = 0").select("answer_chunk_id", (F.col("seq") + F.lit(2**32)).alias("seq"), F.lit("contradicted").alias("verdict"))
+    rows = reporting.reference_stats(_pages_as_refs(spark, sf_dir), _claims(spark, sf_dir), again.union(first))
+    return rows.where("times_cited > 0").select("answer_id", "reference_id", "times_cited", "supported_count", "unsupported_count", "contradicted_count")
 
 
 @query(f"WITH {_RES} SELECT CAST(run AS VARCHAR) AS run_id, round(sum(cost), 4)::DOUBLE AS total_cost_usd, CAST(sum(pt) AS BIGINT) AS total_prompt_tokens, CAST(sum(ct) AS BIGINT) AS total_completion_tokens, CAST(sum(pt + ct) AS BIGINT) AS total_tokens FROM res GROUP BY run")
@@ -562,6 +623,21 @@ def no_passage_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("answer_chunk_id", "verdict", big("prompt_tokens").alias("prompt_tokens"))
 
 
+class _Sometimes:
+    provider, model = "local", "sometimes"
+
+    def reply(self, system: str, user: str) -> tuple[str, int, int, int]:
+        return ("no object" if "haus" in user else '{"justification": "fits", "verdict": "contradicted"}'), 3, 2, 1
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS answer_chunk_id, CASE WHEN doc_id % 5 <> 1 AND contains(text, 'haus') THEN 'parse' WHEN doc_id % 5 = 1 THEN 'unsupported' ELSE 'contradicted' END AS said
+  FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0""")
+def unparsed_stays_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ask = judging.route(_curated(spark, sf_dir))
+    results, errors = judging.judge(_claims(spark, sf_dir), ask, _Sometimes())
+    return results.select("answer_chunk_id", F.col("verdict").alias("said")).union(errors.select("answer_chunk_id", "error"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = F.col("event_id") % 4
@@ -587,7 +663,7 @@ def judge_output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = F.col("event_id") % 5
     provider = F.when(five == 2, "local").when(five == 3, "openai").otherwise("anthropic")
-    model = F.when(five == 1, "haiku").when(five == 4, "unlisted").otherwise("opus")
+    model = F.when(five == 1, "claude-haiku-4-5").when(five == 4, "unlisted").otherwise("claude-opus-5")
     return table(spark, sf_dir, "events").select("event_id", F.round(judging.cost_usd(provider, model, F.col("user_id"), F.col("event_id")), 6).alias("cost"))
 
 
@@ -606,8 +682,42 @@ def fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetching.outcome(attempts).select("reference_id", "status", "fetch_method")
 
 
+def _scripted(url: str, strategy: str) -> tuple[int | None, str | None, bytes | None, str | None, float | None]:
+    """Replies as the URL says: its last part is the status of the plain client, and the browser gets everything."""
+    code = 200 if strategy == "browser" else int(url.rsplit("/", 1)[1])
+    return code, None, b"x" if code == 200 else None, "text/html", None
+
+
+def _no_wait(_: float) -> None: ...
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS reference_id, CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 3 END::BIGINT AS attempts, CASE page_id % 5 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'dead' WHEN 4 THEN 'downloaded'
+  ELSE 'inaccessible' END AS status, CASE page_id % 5 WHEN 0 THEN 200 WHEN 4 THEN 200 END::BIGINT AS http_status, CASE page_id % 5 WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'HTTP 500' WHEN 3 THEN 'HTTP 429' END AS error_message FROM pages""")
+def fetch_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by the cascade, from a scripted client: success, dead, failing, asked to wait, and walled off."""
+    code = F.element_at(F.array(*[F.lit(c) for c in ("200", "404", "500", "429", "403")]), (F.col("page_id") % 5 + 1).cast("int"))
+    refs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("https://h"), (F.col("page_id") % 7).cast("string"), F.lit(".org/"), F.col("page_id").cast("string"), F.lit("/"), code).alias("raw_url"))
+    attempts = fetching.fetch(refs, _scripted, 8, _no_wait)
+    counts = attempts.groupBy("reference_id").agg(F.count("*").alias("attempts"))
+    return fetching.outcome(attempts).join(counts, "reference_id").select("reference_id", "attempts", "status", big("http_status").alias("http_status"), "error_message")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors reach: beside the checkpoints, or in a local session a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    own = tempfile.mkdtemp(prefix="groundcheck-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}/rows"
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS rows, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id")
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", F.from_json("props", "k bigint")["k"].alias("k"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("rows"), F.sum("k").alias("k"))
-
+    """Events written as JSON lines, with blank lines between, and read as a table."""
+    path = _scratch(spark)
+    line = F.to_json(F.struct("user_id", F.from_json("props", "k bigint")["k"].alias("k")))
+    table(spark, sf_dir, "events").select(F.concat(line, F.lit("\n")).alias("value")).write.text(path)
+    return answers.read_table(spark, path, "user_id bigint, k bigint").groupBy("user_id").agg(F.count("*").alias("rows"), F.sum("k").alias("k"))
