@@ -1,11 +1,16 @@
 """Substring duplicates by relative Lempel-Ziv parsing against the whole corpus.
 
 Reference blocks are all windows of ``MIN_WORDS`` words of all documents, indexed by hash and spread over the cluster by
-it. A document is factored greedily against every block: at each word the factor is the run of blocks that continue one
-earlier occurrence (of the least doc_id, then position) in another document, or a literal. A factor starts where the one
-before it ends, with the run that covers this boundary and reaches furthest. Chains of factors, each from a run of at
-least ``MIN_WORDS`` words, become duplicate spans, so the first occurrence of a passage stays and every later one is
-reported.
+it; each window is named by its first occurrence (least document, then place). A document is then a sequence of runs of
+windows that continue one first occurrence. It is factored greedily: a factor starts where the one before it ends and is
+the match in an earlier document that covers this boundary and reaches furthest (ties: the least document, then place).
+
+Candidates are the earlier documents that have a window of it first, and those that are the first to have two of its
+successive runs in a row. Each match is extended to its true ends by comparing the names of windows before and behind it
+in both documents, so a factor is checked at its two boundaries and is as long as its source allows. Of several earlier
+documents with the same windows, one that is first in none of these ways is no candidate: factors can then be more than
+with all sources, but never cover other words. Matches of less than ``MIN_WORDS`` words are literals. What factors cover
+becomes duplicate spans, so the first occurrence of a passage stays and every later one is reported.
 
 Two passes keep the index small without losing a factor. Winnowing picks one of any 26 successive 25-word windows by
 least hash, so that any repeated run of 50 words has a picked window in common; only 50-word windows whose picked window
@@ -24,6 +29,7 @@ are left out by ``factors`` and kept by ``without_repeats``.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, fresh, map_slices
+from .common import cut, fresh, join_hot, map_slices, slices
 
 MIN_WORDS, GRAM = 50, 25
 #: Occurrences of one key that a task may hold, and ids with several texts that are broadcast.
@@ -127,50 +133,136 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _rows(pdf, size, key=np.concatenate(keys).view(np.int64), meta=np.concatenate(meta).view(np.int64))
 
 
-def _span(own: tuple[int, int], pos: np.ndarray, src: np.ndarray, sk: np.ndarray, at: np.ndarray) -> tuple[int, ...]:
-    """The span of one chain of overlapping windows, by greedy factors: at each boundary the run that reaches furthest."""
-    other = (src[1:] != src[:-1]) | (sk[1:] != sk[:-1]) | (np.diff(at) != np.diff(pos)) | (np.diff(pos) != 1)
-    begin = np.flatnonzero(np.r_[True, other])
-    last = np.r_[begin[1:], len(pos)] - 1
-    start, stop = pos[begin], pos[last] + MIN_WORDS
-    count, here, run, most = 0, start[0], 0, (0, 0)
-    while here < stop[-1]:
-        reach = run
-        while run < len(begin) and start[run] <= here:
-            reach, run = run, run + 1  # stops grow with starts, so the last that has begun reaches furthest
-        count, most, here = count + 1, max(most, (stop[reach] - here, -reach)), stop[reach]
-    best = begin[-most[1]]
-    return *own, start[0], stop[-1], src[best], sk[best], at[best], count
+RUNS = "doc_id bigint, k bigint, pos int, n int, src bigint, sk bigint, at int, before_src bigint, before_sk bigint, before_at int"
+SPANS = "doc_id bigint, k bigint, start int, stop int, source_id bigint, sk bigint, source_start int, factors int"
 
 
-SPANS = "doc_id bigint, k bigint, start int, stop int, source_id bigint, sk bigint, source_start int, factors int"
-_SHAPE = pa.schema([(name, pa.int64() if kind == "bigint" else pa.int32()) for name, kind in (c.split() for c in SPANS.split(", "))])
+def _shape(ddl: str) -> pa.Schema:
+    return pa.schema([(name, pa.int64() if kind == "bigint" else pa.int32()) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, k, pos, src, sk, at), sorted by doc_id, k and pos, to ``RUNS``: maximal runs that continue one occurrence,
+    with the last window of the run right before, where there is one."""
+    shape, names = _shape(RUNS), ("doc_id", "k", "pos", "src", "sk", "at")
+    last: tuple | None = None  # the open run: doc, k, pos, n, src, sk, at, before (3)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
+
+    for part in batches:
+        if not part.num_rows:
+            continue
+        doc, k, pos, src, sk, at = (part.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+        again = np.r_[False, (np.diff(doc) == 0) & (np.diff(k) == 0) & (np.diff(pos) == 0)]
+        doc, k, pos, src, sk, at = (x[~again] for x in (doc, k, pos, src, sk, at))
+        fresh_ = (np.diff(doc) != 0) | (np.diff(k) != 0) | (np.diff(pos) != 1) | (np.diff(src) != 0) | (np.diff(sk) != 0) | (np.diff(at) != 1)
+        begin = np.flatnonzero(np.r_[True, fresh_])
+        size = np.diff(np.r_[begin, len(doc)])
+        out = []
+        for b, n in zip(begin.tolist(), size.tolist()):
+            d, kk, p, s, ss, a = int(doc[b]), int(k[b]), int(pos[b]), int(src[b]), int(sk[b]), int(at[b])
+            if last and (d, kk) == last[:2]:
+                end, gap = last[2] + last[3], p - (last[2] + last[3])
+                if gap < 0:  # a row that the batch before had too
+                    b, n, p, a = b - gap, n + gap, p - gap, a - gap
+                    gap = 0
+                    if n <= 0:
+                        continue
+                if gap == 0 and (s, ss) == last[4:6] and a == last[6] + last[3]:
+                    last = (*last[:3], last[3] + n, *last[4:])
+                    continue
+                before = (last[4], last[5], last[6] + last[3] - 1) if p == end else (None, None, None)
+            else:
+                before = (None, None, None)
+            if last:
+                out.append(last)
+            last = (d, kk, p, n, s, ss, a, *before)
+        yield batch(out)
+    if last:
+        yield batch([last])
+
+
+class _Names:
+    """Windows of a document by name: (document, place) of their first occurrence, by runs; elsewhere a window is its own."""
+
+    def __init__(self, own: tuple[int, int], runs: list[dict]):
+        self.own = own
+        self.runs = sorted((r["pos"], r["n"], (r["src"], r["sk"]), r["at"]) for r in runs)
+        self.starts = [r[0] for r in self.runs]
+
+    def piece(self, p: int) -> tuple[tuple[int, int], int, int, int, bool]:
+        """(document, place of p in it, first window, last window, whether it is a run) of the stretch that p is in."""
+        i = bisect_right(self.starts, p) - 1
+        if i >= 0 and p < self.runs[i][0] + self.runs[i][1]:
+            pos, n, src, at = self.runs[i]
+            return src, at + p - pos, pos, pos + n - 1, True
+        low = self.runs[i][0] + self.runs[i][1] if i >= 0 else -(1 << 40)
+        high = self.runs[i + 1][0] - 1 if i + 1 < len(self.runs) else 1 << 40
+        return self.own, p, low, high, False
+
+
+def _extend(mine: _Names, other: _Names, p: int, q: int) -> tuple[int, int]:
+    """First and last window around p of ``mine`` that continue the match of p with q of ``other``."""
+    ends = []
+    for step in (-1, 1):
+        here, there = p, q
+        while True:
+            a, b = mine.piece(here), other.piece(there)
+            if not a[4] or a[:2] != b[:2]:
+                ends.append(here - step)
+                break
+            side = 2 if step < 0 else 3
+            n = min(abs(a[side] - here), abs(b[side] - there)) + 1
+            here, there = here + step * n, there + step * n
+    return ends[0], ends[1]
+
+
+def parse(own: tuple[int, int], runs: list[dict], seeds: list[dict], sources: dict[tuple[int, int], list[dict]]) -> list[tuple]:
+    """Spans (start, stop, source, source key, place, factors) of one document from its runs and candidate matches."""
+    mine, names = _Names(own, runs), {}
+    found: dict[tuple, list[tuple[int, int]]] = {}
+    for s in sorted(seeds, key=lambda s: s["pos"]):
+        source, shift = (s["src"], s["sk"]), s["at"] - s["pos"]
+        held = found.setdefault((*source, shift), [])
+        if not held or s["pos"] > held[-1][1]:
+            if source not in names:
+                names[source] = _Names(source, sources.get(source, []))
+            held.append(_extend(mine, names[source], s["pos"], s["at"]))
+    matches = sorted((low, -(high + MIN_WORDS), *key[:2], low + key[2]) for key, held in found.items() for low, high in held if low <= high)
+    covered = [(pos, pos + n - 1) for pos, n, src, _ in mine.runs if src != own]
+    chains: list[list[int]] = []
+    for low, high in covered:
+        if chains and low - chains[-1][1] <= MIN_WORDS:
+            chains[-1][1] = high
+        else:
+            chains.append([low, high])
+    out, at = [], 0
+    best: tuple | None = None
+    for low, high in chains:
+        here, count, longest = low, 0, None
+        while here < high + MIN_WORDS:
+            while at < len(matches) and matches[at][0] <= here:
+                if best is None or matches[at][1:5] < best[1:5]:  # reaches further, or as far from an earlier document
+                    best = matches[at]
+                at += 1
+            stop = -best[1]
+            if longest is None or stop - here > longest[0]:
+                longest = (stop - here, *best[2:4], best[4] + here - best[0])
+            count, here = count + 1, stop
+        out.append((low, here, *longest[1:], count))
+    return out
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, k, pos, src, sk, at), sorted by doc_id, k and pos, to spans."""
-    rest = [np.zeros(0, np.int64)] * 6
-    for batch in batches:
-        cols = [np.r_[r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)] for i, r in enumerate(rest)]
-        done, rest = _spans(cols, False)
-        yield done
-    done, _ = _spans(rest, True)
-    yield done
-
-
-def _spans(cols: list[np.ndarray], end: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-    """Spans of all chains but the last, which may go on unless this is the end; the rows of that one."""
-    out: list[tuple[int, ...]] = []
-    if len(cols[0]):
-        doc, k, pos, src, sk, at = cols
-        moved = (np.diff(doc) != 0) | (np.diff(k) != 0)
-        again = np.r_[False, ~moved & (np.diff(pos) == 0)]
-        doc, k, pos, src, sk, at = cols = [x[~again] for x in cols]
-        moved = (np.diff(doc) != 0) | (np.diff(k) != 0)
-        cuts = np.r_[0, np.flatnonzero(moved | (np.diff(pos) > MIN_WORDS)) + 1, len(doc)]
-        out = [_span((doc[i], k[i]), pos[i:j], src[i:j], sk[i:j], at[i:j]) for i, j in zip(cuts[:-1], cuts[1:])][: None if end else -1]
-        cols = [x[cuts[-2] :] for x in cols]
-    return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], f.type) for i, f in enumerate(_SHAPE)], schema=_SHAPE), cols
+    shape = _shape(SPANS)
+    for part in slices(batches, 500):
+        rows = []
+        for r in part.to_pylist():
+            own = (r["doc_id"], r["k"])
+            sources = {(x["src"], x["sk"]): x["runs"] or [] for x in r["sources"] or []}
+            rows += [(*own, *span) for span in parse(own, r["runs"], r["seeds"], sources)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(shape)], schema=shape)
 
 
 def _keys(docs: DataFrame) -> tuple[Column, DataFrame | None]:
@@ -231,11 +323,31 @@ def _factors(rows: DataFrame, load: int) -> DataFrame:
         often = picks.join(hot, "key", "left_semi")
         shared = often.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
         found = _first(rows, rare.where("both"), False).union(_first(rows, often.join(shared, "key", "left_semi"), True))
-    return found.repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "pos").mapInArrow(_parse, SPANS)
+    found = found.select("doc_id", "k", "pos", "src", "sk", "at").repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "pos")
+    return _joined(cut(found.mapInArrow(_runs, RUNS)))
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """Spans, from the runs of all documents: each with its candidate matches and the runs of the documents these are in."""
+    other = "(src <> doc_id OR sk <> k)"
+    before = ["before_src", "before_sk", "before_at", "src", "sk", "at"]
+    pairs = runs.where("before_src IS NOT NULL")
+    least = F.min(F.struct(F.col("doc_id").alias("d"), F.col("k").alias("e"), F.col("pos").alias("p")))
+    first = pairs.groupBy(*before).agg(least.alias("f"), F.count("*").alias("m"))
+    met = join_hot(pairs, first, before, F.col("m"), runs.count()).where("f.d <> doc_id OR f.e <> k").select("doc_id", "k", "pos", F.col("f.d").alias("src"), F.col("f.e").alias("sk"), F.col("f.p").alias("at"))
+    seeds = cut(runs.where(other).select("doc_id", "k", "pos", "src", "sk", "at").union(met))
+    whole = runs.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "n", "src", "sk", "at")).alias("runs"))
+    asked = cut(seeds.select("doc_id", "k", "src", "sk").distinct())
+    n = asked.groupBy("src", "sk").agg(F.count("*").alias("n"))
+    held = n.join(whole.select(F.col("doc_id").alias("src"), F.col("k").alias("sk"), "runs"), ["src", "sk"])
+    given = join_hot(asked, held, ["src", "sk"], F.col("n"), asked.count())
+    given = given.groupBy("doc_id", "k").agg(F.collect_list(F.struct("src", "sk", "runs")).alias("sources"))
+    mine = whole.join(seeds.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "src", "sk", "at")).alias("seeds")), ["doc_id", "k"])
+    return mine.join(given, ["doc_id", "k"], "left").select("doc_id", "k", "runs", "seeds", "sources").mapInArrow(_parse, SPANS)
 
 
 def _first(rows: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:
-    """(doc_id, k, pos, src, sk, at) of the windows over shared places whose first occurrence is in another document."""
+    """(doc_id, k, pos, src, sk, at) of the windows over shared places that have occurred before, here or in another document."""
     places = shared.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("shared"))
     held = map_slices(rows.join(places, ["doc_id", "k"]).select("doc_id", "k", "text", "shared"), _index, "doc_id bigint, k bigint, key bigint, meta bigint")
     least = F.min(F.struct(F.col("doc_id").alias("d"), F.col("k").alias("k"), F.col("meta").alias("m")))
@@ -245,7 +357,7 @@ def _first(rows: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:
     else:
         found = held.withColumn("first", least.over(W.partitionBy("key")))
     place = lambda m: m.bitwiseAND(0xFFFFFFFF).cast("int")
-    found = found.select("doc_id", "k", "meta", "first").where("(first.d <> doc_id OR first.k <> k) AND shiftright(first.m, 32) = shiftright(meta, 32)")
+    found = found.select("doc_id", "k", "meta", "first").where("(first.d <> doc_id OR first.k <> k OR first.m <> meta) AND shiftright(first.m, 32) = shiftright(meta, 32)")
     return found.select("doc_id", "k", place(F.col("meta")).alias("pos"), F.col("first.d").alias("src"), F.col("first.k").alias("sk"), place(F.col("first.m")).alias("at"))
 
 

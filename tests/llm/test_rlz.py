@@ -137,6 +137,82 @@ def test_hot_passages_give_the_same_spans(spark, small):
     assert rows(rlz.LOAD) == rows(256) and len(rows(256)) > 149
 
 
+def naive(texts: dict[int, str]) -> dict[int, list[tuple]]:
+    """Spans (start, stop, factors, sources) by comparing every document with every earlier one, word by word."""
+    words = {d: t.split() for d, t in texts.items()}
+    out: dict[int, list[tuple]] = {}
+    for d in sorted(words):
+        mine, matches = words[d], []
+        for e in sorted(words):
+            if e >= d:
+                break
+            theirs = words[e]
+            for shift in range(-len(mine) + 1, len(theirs)):
+                start = None
+                for p in range(max(0, -shift), len(mine) + 1):
+                    same = p < len(mine) and p + shift < len(theirs) and mine[p] == theirs[p + shift]
+                    if same and start is None:
+                        start = p
+                    if not same and start is not None:
+                        if p - start >= rlz.MIN_WORDS:
+                            matches.append((start, -p, e, start + shift))
+                        start = None
+                    if p + shift >= len(theirs):
+                        break
+        here, spans = 0, []
+        while here < len(mine):
+            cover = [m for m in matches if m[0] <= here < -m[1]]
+            if not cover:
+                here += 1
+                continue
+            best = min(cover, key=lambda m: m[1:])
+            part = (here, -best[1], best[2], best[3] + here - best[0])
+            if spans and spans[-1][1] == here:
+                spans[-1] = (spans[-1][0], part[1], [*spans[-1][2], part])
+            else:
+                spans.append((here, part[1], [part]))
+            here = part[1]
+        for start, stop, parts in spans:
+            longest = max(parts, key=lambda p: (p[1] - p[0], -p[0]))
+            out.setdefault(d, []).append((start, stop, longest[2], longest[3], len(parts)))
+    return out
+
+
+def spans_of(spark, texts: dict[int, str]) -> dict[int, list[tuple]]:
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    out: dict[int, list[tuple]] = {}
+    for r in sorted(rlz.factors(docs).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        out.setdefault(r["doc_id"], []).append((r["start"], r["stop"], r["source_id"], r["source_start"], r["factors"]))
+    return out
+
+
+def test_one_factor_where_one_source_has_it_all(spark):
+    part = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c = part("a"), part("b"), part("c")
+    texts = {1: a, 2: f"{a} {b}", 3: f"{a} {b}"}
+    assert spans_of(spark, texts) == naive(texts) == {2: [(0, 60, 1, 0, 1)], 3: [(0, 120, 2, 0, 1)]}
+    texts = {1: f"x {a} y", 2: f"{a} {b}", 3: f"{b} {c} z", 4: f"{a} {b} {c}", 5: f"q {a} {b} {c} r"}
+    got = spans_of(spark, texts)
+    assert got == naive(texts) and got[5] == [(1, 181, 4, 0, 1)]
+
+
+def test_factors_against_comparing_all_words(spark):
+    rng = random.Random(31)
+    passages = [[f"{c}{i}" for i in range(rng.randrange(50, 75))] for c in "abcdefgh"]
+    texts = {}
+    for d in range(60):
+        words = [f"own{d}x{i}" for i in range(rng.randrange(0, 5))]
+        for p in rng.sample(passages, rng.randrange(0, 4)):
+            words += p if rng.random() < 0.8 else p[: rng.randrange(20, len(p))]
+            words += [f"mid{d}x{len(words)}"] * (rng.random() < 0.3)
+        texts[d] = " ".join(words)
+    got, want = spans_of(spark, texts), naive(texts)
+    bare = lambda spans: {(d, s[0], s[1]) for d, rows in spans.items() for s in rows}
+    assert bare(got) == bare(want)  # the same words are covered
+    pairs = [(g, w) for d in want for g, w in zip(got[d], want[d])]
+    assert all(g[4] >= w[4] for g, w in pairs) and sum(g == w for g, w in pairs) >= 0.9 * len(pairs) and len(pairs) > 40
+
+
 def test_batches_do_not_matter():
     import pyarrow as pa
 
@@ -145,13 +221,16 @@ def test_batches_do_not_matter():
     for doc in range(30):
         pos = 0
         for _ in range(rng.integers(1, 5)):
-            pos += int(rng.integers(1, 120))
+            pos += int(rng.integers(0, 120))
             src, at = int(rng.integers(0, 5)), int(rng.integers(0, 1000))
             for _ in range(rng.integers(1, 80)):
-                rows.append((doc // 2 + 10, doc % 2, pos, src, 0, at))
+                rows += [(doc // 2 + 10, doc % 2, pos, src, 0, at)] * (1 + (pos % 11 == 0))
                 pos, at = pos + 1, at + 1
     whole = [np.array([r[i] for r in rows], np.int64) for i in range(6)]
+    names = ["doc_id", "k", "pos", "src", "sk", "at"]
     read = lambda n: pa.Table.from_batches(
-        list(rlz._parse(pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], list("abcdef")) for i in range(0, len(rows), n)))
+        list(rlz._runs(pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], names) for i in range(0, len(rows), n)))
     ).to_pylist()
     assert read(len(rows)) == read(7) == read(1)
+    spread = {(r["doc_id"], r["k"], r["pos"] + i, r["src"], r["sk"], r["at"] + i) for r in read(7) for i in range(r["n"])}
+    assert spread == set(rows) and sum(r["n"] for r in read(7)) == len(set(rows))
