@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .errors import ConfigurationError, ExtractionError, LLMParseError, LLMProviderError
 
 TIMEOUT, MOST_TOKENS = 600.0, 1024
+NAVIGATION_MS, SETTLE_MS = 45_000, 2_000
 AGENT = {"User-Agent": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 Chrome/126.0 Safari/537.36", "Accept-Language": "pt-BR,pt;q=0.9,en;q=0.8"}
 Reply = tuple[int | None, str | None, bytes | None, str | None, float | None]
 
@@ -125,14 +126,12 @@ def _browser(url: str) -> Reply:
     except ImportError:
         return None, "the browser strategy needs playwright", None, None, None
     try:
-        with sync_playwright() as held:
-            browser = held.chromium.launch()
-            page = browser.new_page(extra_http_headers=AGENT)
-            page.goto(url, wait_until="domcontentloaded", timeout=45_000)
-            page.wait_for_timeout(2_000)
-            html = page.content()
-            browser.close()
-        return 200, None, html.encode(), "text/html", None
+        with sync_playwright() as held, held.chromium.launch() as browser:
+            tab = browser.new_context(extra_http_headers=AGENT).new_page()
+            tab.set_default_navigation_timeout(NAVIGATION_MS)
+            tab.goto(url, wait_until="domcontentloaded")
+            tab.wait_for_timeout(SETTLE_MS)
+            return 200, None, tab.content().encode(), "text/html", None
     except Exception as error:  # a client of many kinds of failure
         return None, type(error).__name__, None, None, None
 
@@ -208,6 +207,6 @@ def pdf_markdown(content: bytes) -> str:
         text = pymupdf4llm.to_markdown(file.name)
     finally:
         os.unlink(file.name)
-    if not text or not text.strip():
+    if (text or "").isspace() or not text:
         raise ExtractionError("the PDF has no text")
     return text

@@ -208,7 +208,7 @@ def chat(text: str) -> dict:
 
 
 def test_chat_protocol():
-    said = '{"verdict": "supported", "justification": "j", "cited_excerpts": []}'
+    said = '{"justification": "j", "cited_excerpts": [], "verdict": "supported"}'
 
     def script(body, n):
         if "temperature" in body:
@@ -244,7 +244,7 @@ def test_messages_protocol():
 def test_provider_failure_keeps_what_was_paid(spark, tmp_path):
     space = Workspace(spark, str(tmp_path / "runs"))
     start(space, spark.createDataFrame([("a", "tool", ".md", ANSWER)], "answer_id string, tool_name string, suffix string, text string"))
-    said = '{"verdict": "supported", "justification": "j", "cited_excerpts": []}'
+    said = '{"justification": "j", "cited_excerpts": [], "verdict": "supported"}'
     server = Server(lambda body, n: (500, {"error": "down"}) if "internet law" in body["messages"][1]["content"].split("EVIDENCE")[0] else (200, chat(said)))
     how = Settings(llm_base_url=server.url, llm_retry_delay=0.0, judge_batch=1, llm_model="some/model")
     audit = Audit(space, get, judging.client(how), settings=how)
