@@ -43,7 +43,7 @@ from .common import slices
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
-SAMPLES, BLOCK_CHARS, LONG = 2, 1_500_000, 512
+SAMPLES, BLOCK_CHARS, LONG = 2, 500_000, 512
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean"
 U = np.uint64
 

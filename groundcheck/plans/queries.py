@@ -565,9 +565,10 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
   cites AS (SELECT DISTINCT doc_id, doc_id % 20 AS a, p FROM (SELECT doc_id, doc_id % n AS p FROM documents, n UNION ALL SELECT doc_id, doc_id * 7 % n FROM documents, n))
   SELECT CAST(a AS VARCHAR) AS answer_id, CAST(p AS VARCHAR) AS reference_id, count(*) AS times_cited, {_CNT.format('', '_count')} FROM cites LEFT JOIN last USING (doc_id) GROUP BY a, p""")
 def last_result_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some claims are judged twice: the later result is the one that counts."""
+    """Every claim is judged twice: the later result is the one that counts."""
     first = _results(spark, sf_dir).select("answer_chunk_id", "seq", "verdict")
-    again = first.where("seq % 3 = 0").select("answer_chunk_id", (F.col("seq") + F.lit(2**32)).alias("seq"), F.lit("contradicted").alias("verdict"))
+    changed = F.when(F.col("seq") % 3 == 0, "contradicted").otherwise(F.col("verdict"))
+    again = first.select("answer_chunk_id", (F.col("seq") + F.lit(2**32)).alias("seq"), changed.alias("verdict"))
     rows = reporting.reference_stats(_pages_as_refs(spark, sf_dir), _claims(spark, sf_dir), again.union(first))
     return rows.where("times_cited > 0").select("answer_id", "reference_id", "times_cited", "supported_count", "unsupported_count", "contradicted_count")
 
