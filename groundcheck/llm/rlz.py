@@ -385,6 +385,7 @@ def without_repeats(docs: DataFrame, load: int = LOAD) -> DataFrame:
         out = ((t.as_py(), s.as_py()) for t, s in zip(text, spans))
         return pa.array((cut_out(t, [(s["start"], s["stop"]) for s in x]) if x else t for t, x in out), pa.string())
 
+    clean = clean.asNondeterministic()  # or the filter below would evaluate it a second time
     same = (docs["doc_id"].cast("bigint") == spans[d]) & ((spans[k] == 0) | (spans[k] == F.xxhash64(docs["text"])))
     out = docs.join(spans, same, "left")
     out = out.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(clean(F.col("text"), F.col(held)))).where(F.col(held).isNull() | (F.length("text") > 0))
