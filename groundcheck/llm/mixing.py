@@ -15,6 +15,12 @@ probability between two documents; an empty table gives an empty sample; further
 Exact proportions cut every source to what the shortest one allows. With ``total`` the sample has that part of all tokens
 of the targeted sources instead, whatever the shortest holds: sources too short for their target are taken whole, and the
 others fill the total in their target proportions.
+
+``weighted`` and ``repeated`` leave no document of a targeted source out: documents are repeated until every source has as
+many tokens as its target asks for next to the source that is longest for its own, whose documents count once. The number
+of copies that a source's documents should have is seldom whole; the cube method draws which of them have one more. A
+targeted source without tokens reaches no target and its documents count once. The result so has the tokens of the longest
+source for each source of equal target: a very short source next to a very long one is repeated very often.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from pyspark.sql.window import Window as W
 from .common import cut, fresh
 
 BUCKET_ROWS = 20_000
-TOTAL = 0.95  # what the registered query and the pipeline keep of all tokens
+TOTAL = 1.0  # what the registered query and the pipeline keep of all tokens: they reach the targets by repeating
+CHUNK = 1000  # copies of a row that are counted out at one time
 EPS = 1e-9
 
 
@@ -94,15 +101,18 @@ def units(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "source", "h").agg(F.sum("tokens").alias("tokens"))
 
 
+def _totals(held: DataFrame, targets: Mapping[str | None, float] | None) -> DataFrame:
+    """(source, all_tokens, n, w) of each targeted source."""
+    totals = held.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("n"))
+    if targets is None:
+        return totals.withColumn("w", F.lit(1.0))
+    given = held.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items() if v > 0], "_s string, w double")
+    return totals.join(given, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
 def plan(held: DataFrame, targets: Mapping[str | None, float] | None, share: float, total: float | None = None) -> DataFrame:
     """(source, prob, buckets) for each source: the largest mix in the target proportions or one of ``total``, times ``share``."""
-    totals = held.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("n")).where("all_tokens > 0")
-    if targets is None:
-        totals = totals.withColumn("w", F.lit(1.0))
-    else:
-        spark = held.sparkSession
-        given = spark.createDataFrame([(k, float(v)) for k, v in targets.items() if v > 0], "_s string, w double")
-        totals = totals.join(given, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    totals = _totals(held, targets).where("all_tokens > 0")
     if total is None:
         level = totals.agg(F.min(F.col("all_tokens") / F.col("w")).alias("_level"))
     else:  # the level at which sum(min(all_tokens, level * w)) is the total; one row a source is sorted
@@ -117,6 +127,18 @@ def plan(held: DataFrame, targets: Mapping[str | None, float] | None, share: flo
     )
 
 
+def repeats(held: DataFrame, targets: Mapping[str | None, float] | None) -> DataFrame:
+    """(source, expected, least, prob, buckets) for each targeted source: the copies that its documents have on average, the
+    whole ones among them, and the chance of one more."""
+    totals = _totals(held, targets)
+    level = totals.agg(F.max(F.col("all_tokens") / F.col("w")).alias("_level"))
+    expected = F.when(F.col("all_tokens") > 0, F.greatest(F.lit(1.0), F.col("_level") * F.col("w") / F.col("all_tokens"))).otherwise(1.0)
+    rows = totals.crossJoin(level).select("source", expected.alias("expected"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    rows = rows.withColumn("least", F.floor(F.col("expected") + EPS).cast("bigint"))
+    prob = F.col("expected") - F.col("least")
+    return rows.select("source", "expected", "least", F.when(prob > EPS, prob).otherwise(0.0).alias("prob"), "buckets")
+
+
 def sampled(docs: DataFrame, targets: Mapping[str | None, float] | None = None, share: float = 1.0, seed: int = 7, total: float | None = None) -> DataFrame:
     """The balanced sample: (doc_id, source, tokens, prob) of the documents that stay."""
     return _sampled(docs, targets, share, seed, total).select("doc_id", "source", "tokens", "prob")
@@ -126,7 +148,12 @@ def _sampled(docs: DataFrame, targets: Mapping[str | None, float] | None, share:
     if not 0 <= share <= 1 or total is not None and not 0 <= total <= 1:
         raise ValueError("share and total are parts, from 0 to 1")
     held = cut(units(docs))
-    chances = plan(held, targets, share, total).withColumnRenamed("source", "_s")
+    return _drawn(held, plan(held, targets, share, total), seed)
+
+
+def _drawn(held: DataFrame, chances: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, h, tokens, prob) of the units that the cube method draws by the chances of their sources."""
+    chances = chances.select(F.col("source").alias("_s"), "prob", "buckets")
     rows = held.join(chances, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "h"), F.col("buckets"))
     )
@@ -148,6 +175,40 @@ def _sampled(docs: DataFrame, targets: Mapping[str | None, float] | None, share:
     return flown.where("now = 1").union(left.where("now = 1")).select("doc_id", "source", "h", "tokens", "prob")
 
 
+def _copies(docs: DataFrame, targets: Mapping[str | None, float] | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units, ``repeats`` by source, and the (doc_id, source, h) of the units that have one copy more than their source's least."""
+    held = cut(units(docs))
+    by = cut(repeats(held, targets))
+    return held, by, cut(_drawn(held, by.where("prob > 0"), seed).select("doc_id", "source", "h"))
+
+
+def _counted(rows: DataFrame, by: DataFrame, more: DataFrame, key: list[Column]) -> DataFrame:
+    """``rows``, which have the unit ``key``, of the targeted sources, with ``_expected`` and ``_n``, the copies."""
+    by = by.select(F.col("source").alias("_by"), F.col("expected").alias("_expected"), F.col("least").alias("_least"))
+    more = more.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("h").alias("_text"), F.lit(1).alias("_more"))
+    rows = rows.join(F.broadcast(by), key[1].eqNullSafe(F.col("_by")))
+    same = key[0].eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_of")) & (key[2] == F.col("_text"))
+    return rows.join(more, same, "left").withColumn("_n", F.col("_least") + F.coalesce("_more", F.lit(0))).drop("_by", "_least", "_id", "_of", "_text", "_more")
+
+
+def weighted(docs: DataFrame, targets: Mapping[str | None, float] | None = None, seed: int = 7) -> DataFrame:
+    """(doc_id, source, tokens, expected, copies) of every document of a targeted source; its copies in the mix, and how many
+    the documents of its source have on average."""
+    held, by, more = _copies(docs, targets, seed)
+    out = _counted(held, by, more, [held["doc_id"], held["source"], held["h"]])
+    return out.select("doc_id", "source", "tokens", F.col("_expected").alias("expected"), F.col("_n").alias("copies"))
+
+
+def repeated(docs: DataFrame, targets: Mapping[str | None, float] | None = None, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, each as often as ``weighted`` says, one after the other."""
+    _, by, more = _copies(docs, targets, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("bigint").alias("_d"), docs["source"].cast("string").alias("_s"), _text_key(docs).alias("_h"))
+    rows = _counted(rows, by, more, [rows["_d"], rows["_s"], rows["_h"]]).select("_row", F.col("_n").cast("bigint").alias("_n"))
+    rows = rows.select("_row", "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / CHUNK).cast("int"))).alias("_c"))
+    rows = rows.select("_row", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("_n") - F.col("_c") * CHUNK).cast("int"))))
+    return rows.select("_row.*")
+
+
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of ``docs`` whose document is in the sample."""
     d, s, h = fresh(docs, "_d"), fresh(docs, "_s"), fresh(docs, "_h")

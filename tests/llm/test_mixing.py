@@ -159,3 +159,60 @@ def test_parts_and_rows_without_an_id(spark):
             mixing.mixed(docs, **how)
     kept = mixing.mixed(docs, targets={"hot": 1.0}, share=0.5).collect()
     assert len(kept) == 100 and len({r["text"] for r in kept}) == 100
+
+
+def brute_copies(rows: list[tuple]) -> dict[int, int]:
+    """Copies of each document of (doc_id, source, tokens) where all sources are to have the tokens of the longest."""
+    totals = {s: sum(t for _, x, t in rows if x == s) for s in {s for _, s, _ in rows}}
+    want = {}
+    for source, all_ in totals.items():
+        own = sorted((d, t) for d, s, t in rows if s == source)
+        least, part = divmod(max(totals.values()), all_) if all_ else (1, 0)
+        if part:
+            p, tokens = np.full(len(own), max(totals.values()) / all_ - least), [t for _, t in own]
+            draws = lambda *what: iter(mixing._rng(7, *what).random(len(own) + 8).tolist())
+            p = naive_flight(p, tokens, draws("bucket", source, 0))
+            left = [i for i, x in enumerate(p) if 0 < x < 1]
+            p[left] = mixing.landing(naive_flight(p[left], [tokens[i] for i in left], draws("source", source)), mixing._rng(7, "land", source))
+        want |= {d: least + (int(p[i]) if part else 0) for i, (d, _) in enumerate(own)}
+    return want
+
+
+def test_query_gives_every_document_and_every_source_its_target(spark, small):
+    from groundcheck.llm import queries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in docs.collect()]
+    got = queries.op7_source_mixing(spark, str(small)).toPandas()
+    assert dict(zip(got["doc_id"], got["copies"])) == brute_copies(rows) and len(got) == len(rows)
+    most = max(sum(t for _, x, t in rows if x == s) for s in {s for _, s, _ in rows})
+    longest = max(t for _, _, t in rows)
+    assert all(abs(n - most) <= longest for n in (got["tokens"] * got["copies"]).groupby(got["source"]).sum())
+
+
+def test_copies_of_hot_short_and_empty_sources(spark, odd, none):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "hot" if i % 2 else f"s{i % 20}") for i in range(8000)]
+    rows += [(8000, "only one document", "one"), (8001, "and one", None), (8002, "", "empty"), (8003, None, "empty")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.weighted(docs).toPandas()
+    assert sorted(got["doc_id"]) == [r[0] for r in rows] and got["copies"].min() == 1
+    held = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in {x for _, _, x in rows}}
+    mix = (got["tokens"] * got["copies"]).groupby(got["source"].fillna("null")).sum()
+    assert mix.pop("empty") == 0 and all(abs(n - held["hot"]) <= 60 for n in mix)
+    assert set(got["copies"][got["source"].isin(["hot", "empty"])]) == {1}
+    double = mixing.weighted(docs, targets={"hot": 1.0, "s0": 2.0, "gone": 1.0, "s2": 0.0}).toPandas()
+    mix = (double["tokens"] * double["copies"]).groupby(double["source"]).sum()
+    assert set(mix.index) == {"hot", "s0"} and abs(mix["s0"] - 2 * mix["hot"]) <= 60
+    some = docs.where("doc_id < 400 OR doc_id >= 8000")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.weighted(some).collect()}
+    times = {r["doc_id"]: r["count"] for r in mixing.repeated(some).groupBy("doc_id").count().collect()}
+    assert times == copies and max(copies.values()) > mixing.CHUNK
+    out = mixing.repeated(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema and out.distinct().count() == odd.distinct().count()
+    assert mixing.weighted(none).collect() == [] and mixing.repeated(none).collect() == []
+
+
+def test_sample_of_a_part_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "TOTAL", 0.95)
+    test_sample_against_brute_force(spark, small)
