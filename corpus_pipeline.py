@@ -3,7 +3,7 @@
 language    documents in no known language go
 near copies one document of each group of near copies stays
 passages    passages of 50 words or more that stand in an earlier document are cut out
-mixing      a balanced sample of a stated part of all tokens, in which sources that are long enough have equal tokens
+mixing      every document, repeated as often as it takes for all sources to have the tokens of the longest
 encoding    sampled SentencePiece segmentations of every document that is left
 """
 
@@ -31,7 +31,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, total=mixing.TOTAL)
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ Every sample is decoded again: ``exact`` says that its ids spell the text.
 
 Defined cases: null texts give no rows; an empty text gives one sample without pieces; a text with fewer segmentations
 than ``samples`` gives all of them, with inclusion score 0 (certain); a null key is a key like others; rows with equal
-keys and texts get equal samples; U+2581, which stands for the space, comes back as a space, and ``exact`` counts it as one;
-further columns are left out by ``encoded`` and kept by ``decoded``, which replaces a column of the name it writes.
+keys and texts get equal samples, drawn once where they stand one after the other; U+2581, which stands for the space,
+comes back as a space, and ``exact`` counts it as one; further columns are left out by ``encoded`` and kept by ``decoded``,
+which replaces a column of the name it writes.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
@@ -433,6 +435,37 @@ def _ids(vocabulary: Vocabulary, lattice: Lattice, leaf: _Leaves) -> tuple[np.nd
     return out, at[leaf.bounds]
 
 
+def _runs(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The first of each run of equal rows (key, text without nulls), and the rows of the run."""
+    n = batch.num_rows
+    new = np.ones(n, bool)
+    if n > 1:
+        key, text = batch.column(0), batch.column(1)
+        same = pc.fill_null(pc.equal(key[1:], key[:-1]), False).to_numpy(zero_copy_only=False)
+        none = key.is_null().to_numpy(zero_copy_only=False)
+        new[1:] = ~((same | none[1:] & none[:-1]) & pc.equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False))
+    at = np.flatnonzero(new)
+    return batch.take(pa.array(at)), np.diff(np.r_[at, n])
+
+
+def _again(rows: pa.RecordBatch, size: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``rows`` with the ``size`` rows of each text ``times`` over, few ids at a time."""
+    if (times == 1).all():
+        yield rows
+        return
+    start, offsets = np.cumsum(size) - size, rows.column(2).offsets.to_numpy()
+    ids, at = 0, []
+    for s, n, k, length in zip(start.tolist(), size.tolist(), times.tolist(), (offsets[start + size] - offsets[start]).tolist()):
+        for _ in range(k):
+            at.extend(range(s, s + n))
+            ids += length + n
+            if ids >= BLOCK_CHARS:
+                yield rows.take(pa.array(at))
+                ids, at = 0, []
+    if at:
+        yield rows.take(pa.array(at))
+
+
 def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int = 11, key: str = "doc_id") -> DataFrame:
     """Sampled segmentations of every text, one row a sample; one narrow stage, to which only the vocabulary is sent."""
     with io.open(model_path, "rb") as file:
@@ -441,12 +474,12 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(proto.value)
 
-        def block(keys: list, texts: list) -> pa.RecordBatch:
+        def block(keys: list, texts: list, times: np.ndarray) -> Iterator[pa.RecordBatch]:
             found = sample_block(vocabulary, texts, keys, samples, seed)
             flat = [(k, s, *row, spelled(vocabulary.raw, row[0]) == t.replace(SPACE, " ")) for k, t, rows in zip(keys, texts, found) for s, row in enumerate(rows)]
             cuts = np.concatenate([[0], np.cumsum([len(f[2]) for f in flat])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int32), *[f[2] for f in flat]]).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [
                     pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(values)),
@@ -455,17 +488,21 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
                 ],
                 names=["doc_id", "sample", "ids", "log_prob", "log_inclusion", "exact"],
             )
-
-        for batch in slices(batches):
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = chars = 0
-            for i, text in enumerate(texts):
-                chars += len(text)
-                if chars >= BLOCK_CHARS:
-                    yield block(keys[at : i + 1], texts[at : i + 1])
-                    at, chars = i + 1, 0
-            if at < len(texts):
-                yield block(keys[at:], texts[at:])
+            yield from _again(rows, np.array([len(f) for f in found], np.int64), times)
+
+        for batch in batches:
+            first, counts = _runs(batch)
+            for begin in range(0, first.num_rows, SLICE):
+                keys, texts = (first.column(k).slice(begin, SLICE).to_pylist() for k in (0, 1))
+                times = counts[begin : begin + SLICE]
+                at = chars = 0
+                for i, text in enumerate(texts):
+                    chars += len(text)
+                    if chars >= BLOCK_CHARS:
+                        yield from block(keys[at : i + 1], texts[at : i + 1], times[at : i + 1])
+                        at, chars = i + 1, 0
+                if at < len(texts):
+                    yield from block(keys[at:], texts[at:], times[at:])
 
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.where("text IS NOT NULL").mapInArrow(run, SCHEMA)

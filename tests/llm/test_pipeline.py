@@ -50,3 +50,13 @@ def test_odd_rows(spark, odd, none):
 def test_names():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
     assert rlz.MIN_WORDS == 50
+
+
+def test_mixing_repeats_and_leaves_nothing_out(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").where("doc_id < 120")
+    mixed = [(r["doc_id"], r["source"], r["text"]) for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, small).collect()]
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()]
+    assert set(mixed) == set(rows)
+    tokens = lambda some: {s: sum(len((t or "").split()) for _, x, t in some if x == s) for s in {s for _, s, _ in rows}}
+    longest = max(len((t or "").split()) for _, _, t in rows)
+    assert all(abs(n - max(tokens(rows).values())) <= longest for n in tokens(mixed).values())

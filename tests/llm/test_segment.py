@@ -149,3 +149,17 @@ def test_every_sample_spells_its_text(spark, small):
 
     rows = queries.op10_sentencepiece_sampling(spark, small)
     assert rows.where("NOT exact").count() == 0 and rows.count() > 300
+
+
+def test_rows_that_stand_one_after_the_other_are_drawn_once(spark):
+    import pyarrow as pa
+
+    keys, texts = [1, 1, 1, None, None, 2, 2, 1], ["one text", "one text", "other", "other", "other", "other", "", "one text"]
+    first, times = S._runs(pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], ["doc_id", "text"]))
+    assert first.column(0).to_pylist() == [1, 1, None, 2, 2, 1] and times.tolist() == [2, 1, 2, 1, 1, 1]
+    rows = [(k, t, n) for k, t, n in ((1, "the house of the people", 3), (None, "on the hill", 1500), (2, "", 2), (3, "w " * 5000, 40))]
+    once = spark.createDataFrame(rows, "doc_id bigint, text string, n int").coalesce(1)
+    again = once.selectExpr("doc_id", "text", "explode(sequence(1, n)) AS i")
+    out = lambda docs: sorted((str(r["doc_id"]), r["sample"], r["ids"], round(r["log_prob"], 6), r["exact"]) for r in S.encoded(docs, SENTENCEPIECE).collect())
+    count = {str(k): n for k, _, n in rows}
+    assert out(again) == [r for r in out(once) for _ in range(count[r[0]])]
