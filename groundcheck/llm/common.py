@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 SLICE = 1000
 #: A key is hot when more than one row in this many has it, so there are fewer hot keys than this.
 HOT = 1000
+#: Rows of keys that are sent to every executor, so that the texts that they are joined to stay where they are.
+CARRIED = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +109,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def carried(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table, for a join to rows with texts: broadcast up to ``CARRIED`` rows, sorted and merged beyond."""
+    return F.broadcast(keys) if keys.count() <= CARRIED else keys.hint("merge")
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: Column, total: int | Column, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, whose rows are unique by ``on`` and say in ``n`` how many rows of ``left`` have their key.
 

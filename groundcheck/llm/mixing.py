@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, fresh
+from .common import carried, cut, fresh
 
 BUCKET_ROWS = 20_000
 TOTAL = 1.0  # what the registered query and the pipeline keep of all tokens: they reach the targets by repeating
@@ -188,7 +188,7 @@ def _counted(rows: DataFrame, by: DataFrame, more: DataFrame, key: list[Column])
     more = more.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("h").alias("_text"), F.lit(1).alias("_more"))
     rows = rows.join(F.broadcast(by), key[1].eqNullSafe(F.col("_by")))
     same = key[0].eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_of")) & (key[2] == F.col("_text"))
-    return rows.join(more, same, "left").withColumn("_n", F.col("_least") + F.coalesce("_more", F.lit(0))).drop("_by", "_least", "_id", "_of", "_text", "_more")
+    return rows.join(carried(more), same, "left").withColumn("_n", F.col("_least") + F.coalesce("_more", F.lit(0))).drop("_by", "_least", "_id", "_of", "_text", "_more")
 
 
 def weighted(docs: DataFrame, targets: Mapping[str | None, float] | None = None, seed: int = 7) -> DataFrame:

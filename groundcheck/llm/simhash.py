@@ -6,7 +6,8 @@ documents are near copies when their fingerprints differ in at most ``RADIUS`` =
 Candidates (Pagh, 2016): each bit of a part gets a vector of GF(2)^7, and each of the 127 non-zero vectors v makes a
 mask of the bits whose vector has odd product with v. Two parts that differ in at most 6 bits agree under some mask,
 since 6 vectors cannot span 7 dimensions; two fingerprints within 13 bits have a part within 6. So every pair within
-the radius meets in one of 254 tables: candidate search loses nothing, and pairs beyond the radius are never reported.
+the radius meets in one of 254 tables: candidate search loses nothing, and pairs beyond the radius are never reported. A
+fingerprint is sent to one place for two tables at a time, by the bits that both their masks have.
 
 A document is a row's (doc_id, text): rows that share a doc_id but not a text are documents of their own, and rows that
 repeat both are one document. Of a group (a connected component of near copies) the document with the least (doc_id,
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, join_hot, map_slices
+from .common import carried, components, cut, fresh, join_hot, map_slices
 
 PART, INNER = 48, 6
 RADIUS = 2 * INNER + 1
@@ -55,6 +56,20 @@ def _masks() -> list[int]:
 MASKS = _masks()
 
 
+def _routes() -> list[tuple[int, int, int]]:
+    """(mask, mask, shared bits): the masks by twos (one is alone), such that the fewest bits that two share are many."""
+    left, out = list(range(len(MASKS))), []
+    while len(left) > 1:
+        shared, i, j = max((min((MASKS[i] & MASKS[j]).bit_count(), 12), i, j) for i in left[:1] for j in left[1:])
+        out.append((i, j, MASKS[i] & MASKS[j]))
+        left = [k for k in left if k not in (i, j)]
+    return [*out, *((i, i, MASKS[i]) for i in left)]
+
+
+#: A fingerprint moves once for two tables of a part: what agrees under either mask agrees in the bits that both have.
+ROUTES = _routes()
+
+
 def fingerprint(text: str | None) -> tuple[int, int] | None:
     """Both parts of a text's fingerprint; None where it has no word."""
     words = set(WORD.findall(text.lower())) if text else ()
@@ -135,13 +150,16 @@ def _bucket_edges(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (t, a, b), with or without a pair of slots, in order of their buckets, to edges: a task holds the buckets of one
-    batch and the last one before."""
+    """Rows (r, a, b), with or without a pair of slots, in order of their routes' buckets, to edges: a task holds the buckets of
+    one batch and the last one before, and tells from them those of each route's two tables."""
     rest = [np.zeros(0, np.int64)] * 4
-    masks = np.array(MASKS * 2, np.int64)
+    masks = np.array([m for _, _, m in ROUTES] * 2, np.int64)
+    one, two = (np.array([r[k] + part for part in (0, len(MASKS)) for r in ROUTES], np.int64) for k in (0, 1))
 
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-        t, a, b, _ = cols
+        r, a, b, _ = cols
+        both = one[r] != two[r]
+        t, a, b = np.r_[one[r], two[r][both]], np.r_[a, a[both]], np.r_[b, b[both]]
         i, j = _bucket_edges(t, a, b)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[i], b[i], a[j], b[j])], ["a1", "b1", "a2", "b2"])
 
@@ -151,10 +169,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(columns if len(columns) == 4 else [*columns, np.zeros(len(columns[0]), np.int64)])
         if sum(len(h[0]) for h in held) < 1 << 18:
             continue
-        cols = t, a, b, pair = [np.concatenate([r, *[h[k] for h in held]]) for k, r in enumerate(rest)]
+        cols = r, a, b, pair = [np.concatenate([x, *[h[k] for h in held]]) for k, x in enumerate(rest)]
         held = []
-        key = np.where(t < len(MASKS), a, b) & masks[t]
-        turn = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(pair) != 0))
+        key = np.where(r < len(ROUTES), a, b) & masks[r]
+        turn = np.flatnonzero((np.diff(r) != 0) | (np.diff(key) != 0) | (np.diff(pair) != 0))
         end = int(turn[-1]) + 1 if len(turn) else 0
         if end:
             yield edges([c[:end] for c in cols])
@@ -165,31 +183,31 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key() -> Column:
-    """The bucket of a fingerprint in table t."""
-    mask = F.element_at(F.array(*[F.lit(m) for m in MASKS * 2]), F.col("t") + 1)
-    return F.when(F.col("t") < len(MASKS), F.col("a")).otherwise(F.col("b")).bitwiseAND(mask)
+    """The bucket of a fingerprint on route r."""
+    mask = F.element_at(F.array(*[F.lit(m) for _, _, m in ROUTES * 2]), F.col("r") + 1)
+    return F.when(F.col("r") < len(ROUTES), F.col("a")).otherwise(F.col("b")).bitwiseAND(mask)
 
 
-def _tabled(nodes: DataFrame) -> DataFrame:
-    """(t, a, b): every fingerprint in every table."""
-    return nodes.select(F.explode(F.sequence(F.lit(0), F.lit(2 * len(MASKS) - 1))).alias("t"), "a", "b")
+def _routed(nodes: DataFrame) -> DataFrame:
+    """(r, a, b): every fingerprint on every route."""
+    return nodes.select(F.explode(F.sequence(F.lit(0), F.lit(2 * len(ROUTES) - 1))).alias("r"), "a", "b")
 
 
 def _placed(nodes: DataFrame, load: int) -> DataFrame:
     """The buckets, sorted within partitions. Which ones are large is told by one fingerprint in ``load / 16``: that decides
     how the work is spread, never what is compared, as any two slots of a bucket meet."""
-    rows = _tabled(nodes)
+    rows = _routed(nodes)
     if nodes.count() <= load:  # no bucket can be larger
-        return rows.repartition("t", _key()).sortWithinPartitions("t", _key())
+        return rows.repartition("r", _key()).sortWithinPartitions("r", _key())
     every = max(1, load // 16)
     some = nodes.where(F.pmod(F.xxhash64("b", "a"), F.lit(every)) == 0)
-    large = _tabled(some).groupBy("t", _key().alias("key")).agg((F.count("*") * every / load).alias("over")).where("over > 0.5")
-    rows = rows.withColumn("key", _key()).join(large.select("t", "key", F.ceil("over").cast("int").alias("slots")), ["t", "key"], "left")
+    large = _routed(some).groupBy("r", _key().alias("key")).agg((F.count("*") * every / load).alias("over")).where("over > 0.5")
+    rows = rows.withColumn("key", _key()).join(large.select("r", "key", F.ceil("over").cast("int").alias("slots")), ["r", "key"], "left")
     slots = F.coalesce("slots", F.lit(1))
     own = F.pmod(F.xxhash64("a", "b"), slots).cast("int")
     meets = F.transform(F.sequence(F.lit(0), slots - 1), lambda x: F.least(x, own) * slots + F.greatest(x, own))
-    pairs = rows.select("t", "a", "b", F.explode(meets).alias("pair"))
-    return pairs.repartition("t", _key(), "pair").sortWithinPartitions("t", _key(), "pair")
+    pairs = rows.select("r", "a", "b", F.explode(meets).alias("pair"))
+    return pairs.repartition("r", _key(), "pair").sortWithinPartitions("r", _key(), "pair")
 
 
 def groups(docs: DataFrame, load: int = LOAD) -> tuple[DataFrame, DataFrame]:
@@ -224,5 +242,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are near copies of one that stays."""
     d, h = fresh(docs, "_gone"), fresh(docs, "_hash")
-    gone = cut(_gone(docs)).select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    gone = carried(cut(_gone(docs)).select(F.col("doc_id").alias(d), F.col("h").alias(h)))
     return docs.join(gone, (docs["doc_id"].cast("bigint") == gone[d]) & (F.xxhash64(docs["text"]) == gone[h]), "left_anti")

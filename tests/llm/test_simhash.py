@@ -149,3 +149,29 @@ def test_slots_and_batches_do_not_matter(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = lambda load: {(r["a"], r["b"], r["kept_id"]) for r in simhash.groups(docs, load)[1].collect()}
     assert rows(simhash.LOAD) == rows(24)
+
+
+def test_routes_hold_both_their_tables_whole(spark):
+    assert sorted(k for i, j, _ in simhash.ROUTES for k in {i, j}) == list(range(len(simhash.MASKS))) and len(simhash.ROUTES) == 64
+    assert all(m & ~simhash.MASKS[i] == 0 and m & ~simhash.MASKS[j] == 0 and m.bit_count() >= 8 for i, j, m in simhash.ROUTES)
+    nodes = spark.createDataFrame([(i * 977, i * 3_000_017) for i in range(50)], "a bigint, b bigint")
+    assert simhash._placed(nodes, simhash.LOAD).count() == 50 * 128
+
+
+def test_texts_stay_where_few_keys_are_joined_to_them(spark, monkeypatch):
+    from groundcheck.llm import common, mixing
+
+    rows = [(i, f"{'a b c d e f g h ' * 3} w{i // 2}", f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plans, results = [], []
+        for most in (common.CARRIED, -1):
+            monkeypatch.setattr(common, "CARRIED", most)
+            for out in (simhash.keep_one(docs), mixing.repeated(docs)):
+                plans.append(out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString())
+                results.append(sorted(map(tuple, out.collect())))
+        assert ["SortMergeJoin" in p for p in plans] == [False, False, True, True] and results[:2] == results[2:]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
