@@ -39,11 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, fresh, join_hot, map_slices, slices
+from .common import cut, fresh, join_hot, lean, map_slices, slices
 
 MIN_WORDS, GRAM = 50, 25
 #: Occurrences of one key that a task may hold, and ids with several texts that are broadcast.
 LOAD, CLASHES = 1 << 20, 100_000
+#: Documents whose runs, and those of their sources, are Python objects at one time.
+PARSED = 20
 _RNG = np.random.default_rng(2011)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = [(0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -256,7 +258,7 @@ def parse(own: tuple[int, int], runs: list[dict], seeds: list[dict], sources: di
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shape = _shape(SPANS)
-    for part in slices(batches, 500):
+    for part in slices(batches, PARSED):
         rows = []
         for r in part.to_pylist():
             own = (r["doc_id"], r["k"])
@@ -324,7 +326,7 @@ def _factors(rows: DataFrame, load: int) -> DataFrame:
         shared = often.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
         found = _first(rows, rare.where("both"), False).union(_first(rows, often.join(shared, "key", "left_semi"), True))
     found = found.select("doc_id", "k", "pos", "src", "sk", "at").repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "pos")
-    return _joined(cut(found.mapInArrow(_runs, RUNS)))
+    return _joined(cut(found.mapInArrow(lean(_runs), RUNS)))
 
 
 def _joined(runs: DataFrame) -> DataFrame:
@@ -343,7 +345,7 @@ def _joined(runs: DataFrame) -> DataFrame:
     given = join_hot(asked, held, ["src", "sk"], F.col("n"), asked.count())
     given = given.groupBy("doc_id", "k").agg(F.collect_list(F.struct("src", "sk", "runs")).alias("sources"))
     mine = whole.join(seeds.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "src", "sk", "at")).alias("seeds")), ["doc_id", "k"])
-    return mine.join(given, ["doc_id", "k"], "left").select("doc_id", "k", "runs", "seeds", "sources").mapInArrow(_parse, SPANS)
+    return mine.join(given, ["doc_id", "k"], "left").select("doc_id", "k", "runs", "seeds", "sources").mapInArrow(lean(_parse), SPANS)
 
 
 def _first(rows: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:

@@ -41,11 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE
+from .common import SLICE, lean
 
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
-SAMPLES, BLOCK_CHARS, LONG = 2, 500_000, 512
+SAMPLES, BLOCK_CHARS, LONG = 2, 250_000, 512
+PIECE, PIECES = 1024, 64
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean"
 U = np.uint64
 
@@ -466,6 +467,45 @@ def _again(rows: pa.RecordBatch, size: np.ndarray, times: np.ndarray) -> Iterato
         yield rows.take(pa.array(at))
 
 
+def _pieces(docs: DataFrame, key: str) -> DataFrame:
+    """(doc_id, first, piece): the texts in pieces of ``PIECE`` characters, or ``PIECES`` pieces of a longer text, one after
+    the other. A batch sent to Python is a number of rows, so with whole texts long ones would make it large."""
+    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
+    rows = rows.select("doc_id", "text", F.greatest(F.lit(PIECE), F.ceil(F.length("text") / PIECES).cast("int")).alias("n"))
+    last = F.greatest(F.lit(0), F.ceil(F.length("text") / F.col("n")).cast("int") - 1)
+    rows = rows.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return rows.select("doc_id", (F.col("i") == 0).alias("first"), F.col("text").substr(F.col("i") * F.col("n") + 1, F.col("n")).alias("piece"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_pieces`` as batches (key, text) of whole texts."""
+    held: list[pa.RecordBatch] = []  # the text that the next batch may go on with
+    for batch in batches:
+        at = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False))
+        if len(at):
+            if held or at[0]:
+                yield _texts([*held, batch.slice(0, at[0])])
+            if len(at) > 1:
+                yield _texts([batch.slice(at[0], at[-1] - at[0])])
+            held = []
+            batch = batch.slice(at[-1])
+        held.append(batch)
+    if held:
+        yield _texts(held)
+
+
+def _texts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Whole texts from all their pieces, which stand one after the other in memory: only offsets are set anew."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    key, first, piece = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+    piece = piece.cast(pa.string())
+    at = np.flatnonzero(first.to_numpy(zero_copy_only=False))
+    offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
+    ends = np.append(offsets[at], offsets[-1])
+    text = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), piece.buffers()[2])
+    return pa.RecordBatch.from_arrays([key.take(pa.array(at)), text], names=["doc_id", "text"])
+
+
 def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int = 11, key: str = "doc_id") -> DataFrame:
     """Sampled segmentations of every text, one row a sample; one narrow stage, to which only the vocabulary is sent."""
     with io.open(model_path, "rb") as file:
@@ -490,22 +530,24 @@ def encoded(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int
             )
             yield from _again(rows, np.array([len(f) for f in found], np.int64), times)
 
-        for batch in batches:
+        keys, texts, times, chars = [], [], [], 0
+        for batch in _whole(batches):
             first, counts = _runs(batch)
             for begin in range(0, first.num_rows, SLICE):
-                keys, texts = (first.column(k).slice(begin, SLICE).to_pylist() for k in (0, 1))
-                times = counts[begin : begin + SLICE]
-                at = chars = 0
-                for i, text in enumerate(texts):
+                part = [first.column(k).slice(begin, SLICE).to_pylist() for k in (0, 1)]
+                for key, text, n in zip(*part, counts[begin : begin + SLICE].tolist()):
+                    if texts and key == keys[-1] and text == texts[-1]:  # the run goes on from the batch before
+                        times[-1] += n
+                        continue
+                    if chars >= BLOCK_CHARS or len(texts) == SLICE:
+                        yield from block(keys, texts, np.array(times))
+                        keys, texts, times, chars = [], [], [], 0
+                    keys.append(key), texts.append(text), times.append(n)
                     chars += len(text)
-                    if chars >= BLOCK_CHARS:
-                        yield from block(keys[at : i + 1], texts[at : i + 1], times[at : i + 1])
-                        at, chars = i + 1, 0
-                if at < len(texts):
-                    yield from block(keys[at:], texts[at:], times[at:])
-
-    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.where("text IS NOT NULL").mapInArrow(run, SCHEMA)
+        if texts:
+            yield from block(keys, texts, np.array(times))
+
+    return _pieces(docs, key).mapInArrow(lean(run), SCHEMA)
 
 
 def decoded(rows: DataFrame, model_path: str, ids: str = "ids", to: str = "text") -> DataFrame:

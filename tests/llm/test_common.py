@@ -50,3 +50,26 @@ def test_slices_leave_the_session_alone(spark):
     got = common.map_slices(spark.range(0, 95, 1, 1).toDF("x"), run, "x bigint, n bigint", rows=10).collect()
     assert [r["x"] for r in got] == list(range(95)) and {r["n"] for r in got} == {10, 5}
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+
+
+def test_a_worker_keeps_little_after_a_task():
+    import pyarrow as pa
+
+    def held() -> float:
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    pins = []
+
+    def run(batches):
+        for b in batches:
+            small = [bytearray(60_000) for _ in range(5000)]
+            pins.append(bytearray(60_000))  # what lies above the freed memory keeps it from going back by itself
+            del small
+            yield b
+
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    list(common.lean(iter)(iter([])))
+    before = held()
+    assert list(common.lean(run)(iter([batch]))) == [batch]
+    assert held() < before + 100

@@ -234,3 +234,13 @@ def test_batches_do_not_matter():
     assert read(len(rows)) == read(7) == read(1)
     spread = {(r["doc_id"], r["k"], r["pos"] + i, r["src"], r["sk"], r["at"] + i) for r in read(7) for i in range(r["n"])}
     assert spread == set(rows) and sum(r["n"] for r in read(7)) == len(set(rows))
+
+
+def test_few_documents_with_their_sources_are_python_objects_at_once():
+    import pyarrow as pa
+
+    run = lambda at: {"pos": 0, "n": 30, "src": 0, "sk": 0, "at": at}
+    rows = [{"doc_id": d, "k": 0, "runs": [run(d)], "seeds": [{"pos": 0, "src": 0, "sk": 0, "at": d}], "sources": []} for d in range(1, 401)]
+    parts = list(rlz._parse(iter(pa.Table.from_pylist(rows).to_batches())))
+    assert max(p.num_rows for p in parts) <= 50
+    assert [(r["doc_id"], r["start"], r["stop"], r["source_start"]) for p in parts for r in p.to_pylist()] == [(d, 0, 79, d) for d in range(1, 401)]

@@ -163,3 +163,31 @@ def test_rows_that_stand_one_after_the_other_are_drawn_once(spark):
     out = lambda docs: sorted((str(r["doc_id"]), r["sample"], r["ids"], round(r["log_prob"], 6), r["exact"]) for r in S.encoded(docs, SENTENCEPIECE).collect())
     count = {str(k): n for k, _, n in rows}
     assert out(again) == [r for r in out(once) for _ in range(count[r[0]])]
+
+
+def test_what_a_batch_sends_to_python_is_bounded(spark, monkeypatch):
+    sent = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *how: sent.append(df) or plain(df, *how))
+    rows = [(1, "ab cde " * 6000), (2, "ü\U0001f600日x" * 700), (3, ""), (None, "short"), (4, None), (4, "y" * 1024), (5, "z" * 1025)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = S.encoded(docs, SENTENCEPIECE)
+    assert sent[0].selectExpr(f"max(length({sent[0].columns[-1]}))").first()[0] <= S.PIECE
+    with open(SENTENCEPIECE, "rb") as file:
+        raw = S.Vocabulary(file.read()).raw
+    assert {(r["doc_id"], S.spelled(raw, r["ids"])) for r in got.collect()} == {r for r in rows if r[1] is not None}
+    assert got.where("NOT exact").count() == 0
+
+
+def test_pieces_are_put_together_whatever_the_batches(spark):
+    import pyarrow as pa
+
+    rows = [(1, "ab cde " * 30_000), (1, "ab cde " * 30_000), (2, "ü\U0001f600日x" * 900), (3, ""), (3, ""), (None, "short"), (5, "z" * 1025)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    whole = pa.Table.from_pylist([r.asDict() for r in S._pieces(docs, "doc_id").collect()])
+    whole = whole.cast(pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("piece", pa.string())]))
+    assert 64 <= max(map(whole["doc_id"].to_pylist().count, (1, 2))) <= 2 * S.PIECES
+    for size in (1, 2, 7, 1000):
+        parts = list(S._whole(iter(whole.to_batches(max_chunksize=size))))
+        assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == rows
+    assert not list(S._whole(iter([])))
