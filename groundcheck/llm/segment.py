@@ -46,7 +46,7 @@ from .common import SLICE, lean
 SPACE = "▁"
 UNIT = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n+")
 SAMPLES, BLOCK_CHARS, LONG = 2, 250_000, 512
-PIECE, PIECES = 1024, 64
+PIECE, PIECES = 2048, 32
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean"
 U = np.uint64
 
@@ -469,10 +469,11 @@ def _again(rows: pa.RecordBatch, size: np.ndarray, times: np.ndarray) -> Iterato
 
 def _pieces(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, first, piece): the texts in pieces of ``PIECE`` characters, or ``PIECES`` pieces of a longer text, one after
-    the other. A batch sent to Python is a number of rows, so with whole texts long ones would make it large."""
+    the other. A batch sent to Python is a number of rows, so with whole texts long ones would make it large. Pieces are
+    counted by bytes, which is quicker, so a text that is not ASCII can have empty ones at its end."""
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    rows = rows.select("doc_id", "text", F.greatest(F.lit(PIECE), F.ceil(F.length("text") / PIECES).cast("int")).alias("n"))
-    last = F.greatest(F.lit(0), F.ceil(F.length("text") / F.col("n")).cast("int") - 1)
+    rows = rows.select("doc_id", "text", F.greatest(F.lit(PIECE), F.ceil(F.octet_length("text") / PIECES).cast("int")).alias("n"))
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length("text") / F.col("n")).cast("int") - 1)
     rows = rows.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     return rows.select("doc_id", (F.col("i") == 0).alias("first"), F.col("text").substr(F.col("i") * F.col("n") + 1, F.col("n")).alias("piece"))
 
