@@ -144,22 +144,23 @@ def markdown(reports: DataFrame, refs: DataFrame | None = None, shown: DataFrame
         _row("**Média de tokens por requisição**", _num("%.1f", mean(c("total_tokens")))), _row("**Média de custo por requisição**", _num("US$ %.4f", mean(c("total_cost_usd")))),
     ]
     rows = reports
-    if refs is not None:
-        labels = refs.where(F.size("citation_markers") > 0).groupBy("answer_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("id", F.array_join("citation_markers", " ")))).alias("labels")
-        )
-        rows = rows.join(labels, "answer_id", "left")
-    else:
-        rows = rows.withColumn("labels", F.lit(None).cast("map<string,string>"))
     stats = F.coalesce(c("reference_stats"), F.array().cast(dict(reports.dtypes)["reference_stats"]))
     uncited, n = F.size(F.filter(stats, lambda s: s["times_cited"] == 0)), F.size(stats)
-    line = lambda s: F.concat(
-        F.lit("| ["), F.coalesce(F.try_element_at(c("labels"), s["reference_id"]), s["url"]), F.lit("]("), s["url"], F.lit(") "),
+    line = lambda s, label: F.concat(
+        F.lit("| ["), F.coalesce(label, s["url"]), F.lit("]("), s["url"], F.lit(") "),
         _row(s["status"], *[s[k].cast("string") for k in ("times_cited", "supported_count", "unsupported_count", "contradicted_count")]),
     )
+    if refs is not None:  # a join, since a map of an answer's labels is searched from its start for every line
+        labels = refs.where(F.size("citation_markers") > 0).select("answer_id", F.col("id").alias("ref"), F.array_join("citation_markers", " ").alias("label"))
+        each = reports.select("answer_id", F.explode("reference_stats").alias("s")).withColumn("ref", c("s.reference_id"))
+        each = each.join(labels, ["answer_id", "ref"], "left").select("answer_id", F.struct("s.place", line(c("s"), c("label")).alias("t")).alias("x"))
+        rows = rows.join(each.groupBy("answer_id").agg(F.array_sort(F.collect_list("x")).alias("lines")), "answer_id", "left")
+        lines = F.transform("lines", lambda e: e["t"])
+    else:
+        lines = F.transform(stats, lambda s: line(s, F.lit(None).cast("string")))
     ranking = F.when(n == 0, F.lit("Nenhuma referência citada nos chunks avaliados.")).otherwise(F.concat(
         F.format_string("Referências sem nenhuma citação: %d/%d (%.1f%%)\n\n", uncited, n, pct(uncited.cast("bigint"), n)),
-        _table("Referência Status Citações SUPPORTED UNSUPPORTED CONTRADICTED", F.transform(stats, line)),
+        _table("Referência Status Citações SUPPORTED UNSUPPORTED CONTRADICTED", lines),
     ))
     item = lambda r: F.concat(F.lit("- "), r["raw_url"], F.lit(" — "), F.coalesce(F.nullif(r["error_message"], F.lit("")), F.lit("sem detalhes")))
     part = lambda name, title: F.when(F.size(name) > 0, F.concat(F.lit(f"\n### {title}\n\n"), F.array_join(F.transform(name, item), "\n")))
