@@ -121,14 +121,51 @@ def mended(refs: DataFrame, links: DataFrame) -> DataFrame:
     The known URL with the same fuzzy key wins, else the one that needs fewest of at most ``REPAIR_BUDGET`` characters
     put back; ties by URL. Answers without known links are left as they are.
     """
-    known = links.select("answer_id", F.col("url").alias("known")).distinct().withColumn("known_key", T.fuzzy_url_key(F.col("known")))
+    known = links.select("answer_id", F.col("url").alias("known")).distinct()
     ours = refs.withColumn("key", T.fuzzy_url_key(F.col("raw_url")))
-    gap = F.length("known_key") - F.length("key")
-    pairs = ours.join(known, "answer_id").where(gap.between(0, REPAIR_BUDGET)).where(T.is_subsequence(F.col("key"), F.col("known_key")))
-    best = pairs.groupBy("answer_id", "id").agg(F.min(F.struct(gap.alias("gap"), F.col("known").alias("known"))).alias("best"))
+    asked = ours.where("key IS NOT NULL").select("answer_id", "key").distinct()
+    near = _one_apart(asked, known)
+    best = near.union(_further_apart(asked.join(near, ["answer_id", "key"], "left_anti"), known))
+    best = ours.join(best, ["answer_id", "key"]).groupBy("answer_id", "id").agg(F.min("best").alias("best"))
     return refs.join(best, ["answer_id", "id"], "left").withColumn("url", F.coalesce("best.known", "raw_url")).drop("best")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """(answer_id, key, best) of pairs with a ``known_key`` in which ``key`` stands."""
+    gap = F.length("known_key") - F.length("key")
+    pairs = pairs.where(gap.between(0, REPAIR_BUDGET)).where(T.is_subsequence(F.col("key"), F.col("known_key")))
+    return pairs.groupBy("answer_id", "key").agg(F.min(F.struct(gap.alias("gap"), F.col("known").alias("known"))).alias("best"))
+
+
+def _one_apart(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The closest known URL of a key at most one character longer: a join on known keys with each of their characters out."""
+    key = T.fuzzy_url_key(F.col("known"))
+    out = F.transform(F.sequence(F.lit(0), F.length("known_key")), lambda i: F.xxhash64(F.concat(F.substr("known_key", F.lit(1), i - 1), F.substr("known_key", i + 1))))  # 0: none
+    rows = known.select("answer_id", "known", key.alias("known_key")).where("known_key IS NOT NULL")
+    rows = rows.select("answer_id", "known", F.explode_outer(F.array_distinct(out)).alias("hash")).where("hash IS NOT NULL")
+    return _closest(asked.withColumn("hash", F.xxhash64("key")).join(rows, ["answer_id", "hash"]).withColumn("known_key", key))
+
+
+def _further_apart(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The closest known URL of a key among those that are 2 to ``REPAIR_BUDGET`` characters longer.
+
+    Keys meet the known ones of a length; pairs in which the known one lacks a character of the key, by a mask of 126 bits of
+    the characters and their number, go before any are compared.
+    """
+
+    def masked(rows: DataFrame, key: str) -> DataFrame:
+        rows = rows.withColumn("_c", F.array_sort(F.split(key, "")))
+        rows = rows.withColumn("_b", F.expr("transform(_c, (c, i) -> cast(pmod(xxhash64(c, i - array_position(_c, c)), 126) AS int))"))
+        bits = lambda at: F.expr(f"aggregate(_b, 0L, (m, b) -> m | if(b >= {at} AND b < {at + 63}, shiftleft(1L, b - {at}), 0L))")
+        half = lambda at: F.coalesce(bits(at), F.lit(0).cast("bigint"))  # noqa: E731  # never null, or the join would check for that by a filter that makes it anew
+        return rows.withColumns({f"{key}_0": half(0), f"{key}_1": half(63)}).drop("_c", "_b")
+
+    rows = masked(known.withColumn("known_key", T.fuzzy_url_key(F.col("known"))).where("known_key IS NOT NULL"), "known_key").withColumn("length", F.length("known_key"))
+    keys = masked(asked, "key").withColumn("gap", F.explode(F.array(*[F.lit(g) for g in range(2, REPAIR_BUDGET + 1)]))).withColumn("length", F.length("key") + F.col("gap")).drop("gap")
+    has = lambda n: F.expr(f"key_{n} & ~known_key_{n}") == 0
+    return _closest(keys.join(rows, ["answer_id", "length"]).where(has(0) & has(1)))
+
+
 def repaired(refs: DataFrame, links: DataFrame) -> DataFrame:
     """References with mended URLs, merged anew."""
     return merge(mended(refs, links).select("answer_id", F.lit(1).alias("source_rank"), "ord", F.col("citation_markers").alias("markers"), "title", "url"))
