@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 
 MAX_TOKENS, OVERLAP, RANGES = 512, 50, 256
+#: Characters of passages that a task holds before it hands them on.
+HELD = 1 << 20
 Count = Callable[[str], int]
 
 
@@ -63,12 +65,29 @@ def split_markdown(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERL
 def chunk(documents: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, count: Count = word_tokens) -> DataFrame:
     """(reference_id, position, text, token_count) of all documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(r, i, c, count(c)) for r, m in zip(pdf["reference_id"], pdf["markdown"]) if m for i, c in enumerate(split_markdown(m, max_tokens, overlap, count))]
-            yield pd.DataFrame(rows, columns=["reference_id", "position", "text", "token_count"]).astype({"position": "int32", "token_count": "int32"})
-
-    return documents.select("reference_id", "markdown").mapInPandas(run, "reference_id string, position int, text string, token_count int")
+    shape = pa.schema([("reference_id", pa.string()), ("position", pa.int32()), ("text", pa.string()), ("token_count", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bounded(batches, lambda r, m: ((r, i, c, count(c)) for i, c in enumerate(split_markdown(m, max_tokens, overlap, count)))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
+    return documents.select("reference_id", "markdown").mapInArrow(run, "reference_id string, position int, text string, token_count int")
+
+
+def bounded(batches: Iterator[pa.RecordBatch], split: Callable[[str, str], Iterable[tuple]]) -> Iterator[list[tuple]]:
+    """What ``split`` makes of each (id, text), in lists of about ``HELD`` characters of text; one text is a Python object at a time."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1)):
+            for row in split(key.as_py(), text.as_py() or ""):
+                rows.append(row)
+                held += len(row[2])
+                if held >= HELD:
+                    yield rows
+                    rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def word_windows(documents: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:

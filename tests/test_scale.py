@@ -6,9 +6,10 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from groundcheck.operators import reporting, vectors
+from groundcheck.operators import passages, reporting, vectors
 from groundcheck.plans import queries as Q
 from tests.test_plans import plan
 
@@ -57,3 +58,12 @@ def test_full_search_moves_a_vector_a_fixed_number_of_times(spark):
     text = vectors.top_full(d.drop("embedding_id"), d.drop("claim_id"), 1)._jdf.queryExecution().analyzed().toString()
     last = [int(n) for n in re.findall(r"explode\(sequence\(0, (\d+)", text)]
     assert len(last) == 2 and max(last) < vectors.GRID
+
+
+def test_chunks_are_handed_on_before_the_batch_is_done(spark):
+    batch = pa.RecordBatch.from_pydict({"reference_id": [str(i) for i in range(40)], "markdown": [None, "", *["word " * 20_000] * 38]})
+    lists = passages.bounded([batch], lambda r, m: ((r, i, c, 0) for i, c in enumerate(passages.split_markdown(m))))
+    sizes = [sum(len(row[2]) for row in rows) for rows in lists]
+    assert len(sizes) > 3 and max(sizes) < passages.HELD + 512 * 6
+    docs = spark.createDataFrame([("a", None), ("b", ""), ("c", "x " * 600)], "reference_id string, markdown string")
+    assert [(r[0], r[1], r[3]) for r in passages.chunk(docs, 512, 0).orderBy("position").collect()] == [("c", 0, 512), ("c", 1, 88)]
